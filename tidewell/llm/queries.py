@@ -77,3 +77,34 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS s
+  FROM words),
+sized AS (SELECT doc_id, len(s)::BIGINT AS n, s FROM sets),
+grams AS (SELECT doc_id, n, unnest(s) AS g FROM sized),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n_both
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+   AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM shared WHERE 100 * n_both >= 85 * (na + nb - n_both)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, d.n AS n_shingles,
+       least(d.doc_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = d.doc_id), d.doc_id)) AS component_id,
+       (SELECT count(*) FROM links l WHERE l.a = d.doc_id)::BIGINT AS n_links
+FROM sized d
+"""
+
+
+@query("op8_ngram_jaccard_join", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
