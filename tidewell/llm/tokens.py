@@ -56,7 +56,7 @@ def _byte_alphabet() -> dict[str, int]:
 class BatchBPE:
     """Encoder of one vocabulary file; see the module's text for the method."""
 
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         from tokenizers import Tokenizer
