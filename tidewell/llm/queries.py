@@ -108,3 +108,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
