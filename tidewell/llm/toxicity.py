@@ -240,7 +240,7 @@ def choose_landmarks(sample: list[tuple[str, int]], most: int = LANDMARKS) -> li
     def stands_out(t: int, c: int) -> bool:
         return c <= max(CLEAN_SHARES) * t and evidence(t, c) >= EVIDENCE
 
-    base = {g for g, t in seen[1].items() if stands_out(t, seen[0][g])}
+    base = {g for g, t in seen[1].items() if seen[0][g] <= 3 * t and evidence(t, seen[0][g]) >= EVIDENCE}
     marked = [({w for w in bag if not base.isdisjoint(grams(w, 4))}, y) for bag, y in bags]
     counts = {0: Counter(), 1: Counter()}
     covers: dict[str, set[int]] = {}
