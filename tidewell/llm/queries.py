@@ -147,3 +147,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.topk import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op9_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
