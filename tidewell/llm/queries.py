@@ -154,3 +154,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.fingerprint import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op6_html_extraction")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.htmltext import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
