@@ -161,3 +161,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.htmltext import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op3_chat_formatting")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.chat import reply_ordered
+
+    return reply_ordered(table(spark, sf_dir, "conversations"))
