@@ -27,7 +27,8 @@ def parse(bronze: DataFrame, keep: tuple[str, ...] = ("raw_value", "source_parti
     The text is parsed once per row under the declared schema, never inferred;
     fields that the contract does not name are ignored.
     """
-    opened = bronze.withColumn("envelope", F.from_json("raw_value", ENVELOPE))
+    # A generator of one row keeps the optimizer from repeating the parse in every expression above it.
+    opened = bronze.select(*dict.fromkeys((*keep, "raw_value")), F.explode(F.array(F.from_json("raw_value", ENVELOPE))).alias("envelope"))
     columns = [F.col(f"envelope.{path}") for _, path in FIELDS]
     typed = [(lenient_timestamp(c) if name in _TIMES else c).alias(name) for c, (name, _) in zip(columns, FIELDS, strict=True)]
     return opened.select(*typed, *keep)

@@ -7,19 +7,27 @@ import shutil
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one the cluster names, or a temporary one in its absence."""
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = tempfile.mkdtemp(prefix="tidewell-")
+        atexit.register(shutil.rmtree, where, True)
+    sc.setCheckpointDir(where)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names, or in a temporary one in its absence."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            where = tempfile.mkdtemp(prefix="tidewell-")
-            atexit.register(shutil.rmtree, where, True)
-        sc.setCheckpointDir(where)
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

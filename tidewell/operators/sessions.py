@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidewell.functions.contract import JOINABLE_STATES, LIVE_STATES
 from tidewell.functions.scalars import player_total
@@ -83,41 +85,54 @@ def play(commands: DataFrame) -> DataFrame:
     Input: ``session_code, seq, at, command, player_id, game_id, region,
     max_players, min_players_to_start``.  Returns a row per command: whether it
     was accepted, why not, the event that it makes, and the session after it.
-    A session is one sequential fold; sessions run side by side.
+    A session is one sequential fold; sessions run side by side.  Commands come
+    sorted, so a task holds one session at a time however many it has.
     """
-    names = [f.split()[0] for f in OUTCOMES.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s: Session | None = None
-        out = []
-        given = lambda v: None if pd.isna(v) else v
-        for r in pdf.sort_values(["at", "seq"], kind="stable").itertuples(index=False):
-            reason = None
-            try:
-                if r.command not in COMMANDS:
-                    raise ValueError("unknown command")
-                if r.command == "create":
-                    if s is not None:
-                        raise ValueError("exists already")
-                    most, least = given(r.max_players), given(r.min_players_to_start)
-                    s = Session(r.at, r.player_id, given(r.game_id), given(r.region), most and int(most), least and int(least))
-                elif s is None:
-                    raise ValueError("no such session")
-                else:
-                    getattr(s, r.command)(r.at, r.player_id)
-            except ValueError as e:
-                reason = str(e)
-            done = reason is None
-            after = [None] * 13 if s is None else [
-                s.game, s.region, s.state, s.host, list(s.players), len(s.players), s.most, s.least, len(s.players) >= s.most,
-                int((r.at - s.created).total_seconds()), s.created, s.updated, s.expires,
-            ]
-            out.append([r.session_code, r.seq, r.at, r.command, r.player_id, done, reason, COMMANDS[r.command] if done else None, *after])
-        return pd.DataFrame(out, columns=names).astype({"player_count": "Int32", "max_players": "Int32", "min_players_to_start": "Int32", "uptime_seconds": "Int64", "is_full": "boolean"})
-
     cols = ("session_code", "seq", "command", "player_id", "game_id", "region", "max_players", "min_players_to_start")
     rows = commands.select(*cols, F.col("at").cast("timestamp_ntz").alias("at"))
-    return rows.groupBy("session_code").applyInPandas(run, OUTCOMES)
+    target = to_arrow_schema(StructType.fromDDL(OUTCOMES))
+
+    def run(batches):
+        code, s = None, None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["session_code"] != code:
+                    code, s = r["session_code"], None
+                s, reason = _applied(s, r)
+                out.append(_outcome(s, r, reason))
+            yield pa.RecordBatch.from_pylist(out, target)
+
+    return rows.repartition("session_code").sortWithinPartitions("session_code", "at", "seq").mapInArrow(run, OUTCOMES)
+
+
+def _applied(s: Session | None, r: dict) -> tuple[Session | None, str | None]:
+    """The session after a command, and why the command was refused if it was."""
+    command, at, player = r["command"], r["at"], r["player_id"]
+    if command not in COMMANDS:
+        return s, "unknown command"
+    if command == "create":
+        if s is not None:
+            return s, "exists already"
+        return Session(at, player, r["game_id"], r["region"], r["max_players"], r["min_players_to_start"]), None
+    if s is None:
+        return s, "no such session"
+    try:
+        getattr(s, command)(at, player)
+    except ValueError as e:
+        return s, str(e)
+    return s, None
+
+
+def _outcome(s: Session | None, r: dict, reason: str | None) -> dict:
+    out = {k: r[k] for k in ("session_code", "seq", "at", "command", "player_id")}
+    out |= {"accepted": reason is None, "reason": reason, "event_type": COMMANDS[r["command"]] if reason is None else None}
+    if s is not None:
+        n = len(s.players)
+        out |= {"game_id": s.game, "region": s.region, "state": s.state, "host_player_id": s.host, "players": list(s.players), "player_count": n}
+        out |= {"max_players": s.most, "min_players_to_start": s.least, "is_full": n >= s.most, "uptime_seconds": int((r["at"] - s.created).total_seconds())}
+        out |= {"created_at": s.created, "updated_at": s.updated, "expires_at": s.expires}
+    return out
 
 
 def latest(outcomes: DataFrame) -> DataFrame:
