@@ -1,0 +1,112 @@
+"""Command line, compaction report, generator, driver queries."""
+
+import json
+
+import duckdb
+import pytest
+
+import __spark_entry__
+from tests.conftest import START
+from tidewell import cli
+from tidewell.operators.generate import event_lines, generated, session_events, write_landing
+from tidewell.options import SILVER, Drive, LakeOptions
+from tidewell.plans import driver
+from tidewell.plans.catalog import layout_queries
+from tidewell.plans.compaction import measure
+from tidewell.sources.table import LakeTable
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_generator_is_seeded(spark):
+    assert event_lines(5, START, seed=1) == event_lines(5, START, seed=1) != event_lines(5, START, seed=2)
+    lines = sorted(r.raw_value for r in generated(spark, 20, START, seed=4).collect())
+    assert lines == sorted(event_lines(20, START, seed=4))
+    kinds = [e["type"] for e in session_events(3, START)]
+    assert kinds[0] == "SESSION_CREATED" and kinds[-1] == "SESSION_TERMINATED"
+
+
+def test_landing_files(tmp_path):
+    assert write_landing([str(k) for k in range(10)], str(tmp_path), 4) == 4
+    assert sum(len(p.read_text().split()) for p in tmp_path.glob("*.json")) == 10
+
+
+def test_all_verbs(spark, tmp_path, capsys):
+    base = str(tmp_path / "lake")
+    write_landing(event_lines(30, START), f"{base}/landing", 4)
+    common = ["--base-path", base, "--source", "file", "--max-files-per-trigger", "1", "--rate-limited"]
+    cli.main(["run", *common])
+    cli.main(["query", *common])
+    cli.main(["history", *common])
+    cli.main(["compact", *common, "--iterations", "1", "--warmups", "0", "--vacuum"])
+    out = capsys.readouterr().out
+    assert "gold_session_duration" in out and "30 rows" in out and "== Longest running sessions ==" in out
+    assert "% fewer" in out and "superseded files deleted" in out and "row_count" in out
+    report = json.loads((tmp_path / "lake/_benchmarks/compaction.json").read_text())
+    assert report["after"]["files"] < report["before"]["files"] and len(report["timings"]) == 4
+    for verb in ("bronze", "silver", "gold"):
+        cli.main([verb, *common])
+    cli.main(["compact", "--base-path", str(tmp_path / "nowhere")])
+    assert "nothing to compact" in capsys.readouterr().out
+
+
+def test_flags():
+    parse = lambda *a: cli.options_of(cli.parser().parse_args(a))
+    assert parse("run").drive is Drive.AVAILABLE_NOW and parse("run", "--rate-limited").drive is Drive.RATE_LIMITED
+    o = parse("run", "--continuous", "--interval-seconds", "3", "--topic", "t", "--master", "local[2]")
+    assert o.drive is Drive.CONTINUOUS and o.interval.total_seconds() == 3 and o.kafka_topic == "t" and o.master == "local[2]"
+    with pytest.raises(SystemExit):
+        parse("dance")
+
+
+def test_compaction_of_many_small_files(spark, tmp_path):
+    from tests.test_rules import bronze
+    from tidewell.functions.contract import TABLE_SCHEMAS
+    from tidewell.options import TABLES
+    from tidewell.streaming.silver import write_batch
+
+    o = LakeOptions(base=str(tmp_path))
+    table, quarantine = (LakeTable(spark, o.table(t)) for t in (SILVER, TABLES[2]))
+    table.create(*TABLE_SCHEMAS[SILVER])
+    quarantine.create(*TABLE_SCHEMAS[TABLES[2]])
+    lines = event_lines(40, START)
+    for k in range(6):
+        write_batch(bronze(spark, lines[k::6]), table, quarantine, ("t", k))
+    report = measure(spark, table, layout_queries("S0000001"), ["game_id", "session_code"], warmups=0, iterations=2)
+    assert report.before.rows == report.after.rows == len(lines)
+    assert report.after.files < report.before.files and report.after.bytes < report.before.bytes and report.fewer_files > 0.5
+    assert "| `wide_aggregate` |" in report.markdown() and report.timings[1].rows == 1
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem events".split():
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    return c
+
+
+def plain(value):
+    if isinstance(value, float):
+        return None if value != value else float(f"{value:.9g}")
+    return value.item() if hasattr(value, "item") else value
+
+
+@pytest.mark.parametrize("name", sorted(driver.QUERIES))
+def test_driver_queries_match_sql(spark, duck, name):
+    df = driver.QUERIES[name](spark, SF)
+    got = [tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect()]
+    if name not in driver.ORACLES:
+        assert got
+        return
+    found = duck.sql(driver.ORACLES[name])
+    assert sorted(found.columns) == sorted(df.columns)
+    order = [found.columns.index(c) for c in sorted(found.columns)]
+    want = [tuple(plain(r[k]) for k in order) for r in found.fetchall()]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_entry(spark):
+    assert __spark_entry__.entry(spark).count() == 10
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -56,6 +56,23 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows in a batch that goes to Python.  Texts can be long, so batches are kept small.
+BATCH_ROWS = 500
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same frame, with the session set to send rows to Python in small batches.
+
+    A batch is held several times over (in the JVM, as Arrow, as Python strings);
+    the default of 10,000 whole texts would make memory follow their length.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
+
+
 def word_count(text: Column) -> Column:
     """The number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import checkpointed, stored
+from tidewell.llm.common import checkpointed, in_small_batches, stored
 from tidewell.llm.components import components
 from tidewell.llm.sets import mixed, shingles
 
@@ -210,7 +210,7 @@ def signatures(docs: DataFrame, n: int, percent: int, text: str = "text", doc_id
                 names=["doc_id", "n_shingles", "set_hash", "bands"],
             )
 
-    return src.mapInArrow(run, "doc_id long, n_shingles long, set_hash string, bands array<long>")
+    return in_small_batches(src).mapInArrow(run, "doc_id long, n_shingles long, set_hash string, bands array<long>")
 
 
 def _compare(percent: int, n: int):

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import in_small_batches
 from tidewell.llm.tokens import encoder, text_groups
 
 #: Documents in a shard on average.  A shard leaves a window or two partly open.
@@ -119,7 +120,7 @@ def pack(
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
     more = ", ids array<int>" if with_ids else ""
-    pieces = src.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, doc_crc32 long" + more)
+    pieces = in_small_batches(src).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, doc_crc32 long" + more)
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "doc_crc32", "doc_tokens"), F.lit(shards)))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:

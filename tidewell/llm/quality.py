@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import held_out
+from tidewell.llm.common import held_out, in_small_batches
 from tidewell.llm.training import labelled_sample
 
 #: Labelled rows that a fit uses at most.
@@ -216,7 +216,7 @@ def score(docs: DataFrame, model: AdditiveModel, text: str = "text", doc_id: str
                 names=["doc_id", "held_out", "score", "predicted"],
             )
 
-    return src.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return in_small_batches(src).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def good_documents(docs: DataFrame, model: AdditiveModel, text: str = "text") -> DataFrame:
@@ -228,4 +228,4 @@ def good_documents(docs: DataFrame, model: AdditiveModel, text: str = "text") ->
         for batch in batches:
             yield batch.filter(pa.array(shared.value.scores(features(batch.column(at).to_pylist())) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)

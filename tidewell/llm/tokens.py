@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import in_small_batches
+
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Up to this code point the character classes below are those of every Unicode version in use.
 _SAFE_END = 0x24F
@@ -56,12 +58,10 @@ def _byte_alphabet() -> dict[str, int]:
 class BatchBPE:
     """Encoder of one vocabulary file; see the module's text for the method."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        from tokenizers import Tokenizer
-
-        self._library = Tokenizer.from_file(path)
+        self._path, self._library = path, None
         vocab = spec["model"]["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self._bytes_of = _byte_alphabet()
@@ -121,6 +121,10 @@ class BatchBPE:
     def _pre_tokens(self, text: str) -> list[str]:
         if not _UNSAFE.search(text):
             return _splitter().findall(text)
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
         split = self._library.pre_tokenizer.pre_tokenize_str(text)
         return [text[a:b] for _, (a, b) in split]
 
@@ -171,7 +175,7 @@ def encoder(path: str) -> BatchBPE:
 
 
 #: Texts are encoded in groups of about so many characters, which bounds the memory of a task.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 
 
 def text_groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -210,4 +214,4 @@ def token_counts(docs: DataFrame, vocab: str, limit: int = 1024, text: str = "te
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return src.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return in_small_batches(src).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import held_out
+from tidewell.llm.common import held_out, in_small_batches
 from tidewell.llm.training import labelled_sample
 
 #: Labelled rows that a fit uses at most.
@@ -50,7 +50,7 @@ COVER_SHARE = 0.015
 #: A sentence without an end is cut after so many words.
 SENTENCE_WORDS = 30
 _SPELLED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
-_MEMO_MOST = 400_000
+_MEMO_MOST = 150_000
 #: Stands before every word, so that a landmark can say where a word begins.
 START = "^"
 
@@ -231,36 +231,41 @@ def choose_landmarks(sample: list[tuple[str, int]], most: int = LANDMARKS) -> li
         p = t / (t + c)
         return 0.0 if p <= share else t * math.log(p / share) + (c * math.log((1 - p) / (1 - share)) if c else 0.0)
 
-    # Strings of four characters first; longer ones only where such a string stands out.
-    seen = {0: Counter(), 1: Counter()}
-    for bag, y in bags:
-        for w in bag:
-            seen[y].update(grams(w, 4))
+    toxic, clean = [b for b, y in bags if y], [b for b, y in bags if not y]
+
+    def counted(strings) -> tuple[Counter, Counter]:
+        """Occurrences in toxic documents, where they can be enough to stand out, and in clean ones."""
+        t = Counter(g for bag in toxic for w in bag for g in strings(w))
+        t = Counter({g: n for g, n in t.items() if n * math.log(1 / share) >= EVIDENCE})
+        return t, Counter(g for bag in clean for w in bag for g in strings(w) if g in t)
 
-    def stands_out(t: int, c: int) -> bool:
-        return c <= max(CLEAN_SHARES) * t and evidence(t, c) >= EVIDENCE
+    # Strings of four characters first; longer ones only where such a string stands out.
+    t4, c4 = counted(lambda w: grams(w, 4))
+    base = {g for g, t in t4.items() if c4[g] <= 3 * t and evidence(t, c4[g]) >= EVIDENCE}
+
+    def around(w: str) -> set[str]:
+        """The substrings of a word that hold a string that stands out."""
+        out = set()
+        for i in (i for i in range(len(w) - 3) if w[i : i + 4] in base):
+            out.update(w[a:b] for a in range(max(0, i + 4 - MARK_MOST), i + 1) for b in range(i + 4, min(len(w), a + MARK_MOST) + 1))
+        return out
 
-    base = {g for g, t in seen[1].items() if seen[0][g] <= 3 * t and evidence(t, seen[0][g]) >= EVIDENCE}
-    marked = [({w for w in bag if not base.isdisjoint(grams(w, 4))}, y) for bag, y in bags]
-    counts = {0: Counter(), 1: Counter()}
-    covers: dict[str, set[int]] = {}
-    inside: dict[str, set[str]] = {}
-    for d, (bag, y) in enumerate(marked):
+    t_all, c_all = counted(around)
+    good = {g for g, t in t_all.items() if c_all[g] <= max(CLEAN_SHARES) * t and evidence(t, c_all[g]) >= EVIDENCE}
+    covers: dict[str, set[int]] = {g: set() for g in good}
+    inside: dict[str, set[str]] = {g: set() for g in good}
+    for d, bag in enumerate(toxic):
         for w in bag:
-            for g in (g for k in range(4, min(MARK_MOST, len(w)) + 1) for g in grams(w, k)):
-                counts[y][g] += 1
-                if y:
-                    covers.setdefault(g, set()).add(d)
-                    inside.setdefault(g, set()).add(w)
-    # Only of strings that hold one that stands out have all words been counted.
-    covers = {g: ds for g, ds in covers.items() if stands_out(counts[1][g], counts[0][g]) and not base.isdisjoint(grams(g, 4))}
+            for g in around(w) & good:
+                covers[g].add(d)
+                inside[g].add(w)
     # Each document has to be covered several times: insults rarely come alone, and held-out ones vary.
-    left = Counter({d: 4 for d, (_, y) in enumerate(bags) if y})
+    left = Counter(dict.fromkeys(range(len(toxic)), 4))
     least = max(3, math.ceil(COVER_SHARE * len(left)))
     chosen: list[str] = []
     # Strings that clean documents hardly use first, then those that they use less.
     for share_limit in CLEAN_SHARES:
-        pool = {g: ds for g, ds in covers.items() if counts[0][g] <= share_limit * counts[1][g]}
+        pool = {g: ds for g, ds in covers.items() if c_all[g] <= share_limit * t_all[g]}
         while pool and len(chosen) < most:
             gain = {g: sum(1 for d in ds if left[d] > 0) for g, ds in pool.items()}
             best = max(pool, key=lambda g: (gain[g], len(g), g))
@@ -272,7 +277,7 @@ def choose_landmarks(sample: list[tuple[str, int]], most: int = LANDMARKS) -> li
             for d in covers[best]:
                 left[d] -= 1
             pool, covers = ({g: ds for g, ds in x.items() if len(inside[g] & inside[best]) < 0.5 * len(inside[g])} for x in (pool, covers))
-    ordinary = Counter(w for bag, y in bags if not y for w in bag if 5 <= len(w) <= MARK_MOST)
+    ordinary = Counter(w for bag in clean for w in bag if 5 <= len(w) <= MARK_MOST)
     plain = sorted(ordinary, key=lambda w: (-ordinary[w], w))
     return chosen + plain[:ORDINARY] if chosen else []
 
@@ -359,7 +364,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", doc_id: str
                 names=["doc_id", "held_out", "score", "predicted"],
             )
 
-    return src.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return in_small_batches(src).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, **columns) -> ToxicityModel:
@@ -379,4 +384,4 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
             keep = [s < 0.5 for a in range(0, len(texts), 500) for s in mine.scores(texts[a : a + 500])]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)
