@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import checkpointed
+from tidewell.llm.common import checkpointed, stored
 
 #: Turns that one window looks back over; what lies before is carried over as one row per range.
 RANGE_TURNS = 1024
@@ -124,7 +124,10 @@ def reply_ordered(messages: DataFrame, conv_id: str = "conv_id", turn: str = "tu
     """
     rows = messages.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
     parsed = _parsed(rows)
-    units = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("units").alias("u")).select("conv_id", "turn", "u.level", "u.h", "u.weight")
+    # An inner explode would push a filter on the size of ``units`` below the parsing, which then
+    # works out the lines anew for every element it looks at; an outer one pushes nothing.
+    units = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode_outer("units").alias("u"))
+    units = stored(units.where("u is not null").select("conv_id", "turn", "u.level", "u.h", "u.weight"))
     links = checkpointed(_links(units))
     weights = links.groupBy("conv_id", "turn", "level", "source").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
     best = F.max(F.struct((-F.col("level")).alias("near"), F.col("weight"), F.col("source")))
