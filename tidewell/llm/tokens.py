@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,9 @@ _SPACES = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, range(0x2000, 0x200B))) +
 #: Up to this code point the character classes below are those of every Unicode version in use.
 _SAFE_END = 0x24F
 _UNSAFE = re.compile(rf"[^\x00-{chr(_SAFE_END)}\u2010-\u2027\u2030-\u205e\u20ac]")
-_NO_RANK = np.iinfo(np.int64).max
+#: About so many bytes of new pre-tokens are merged at once, which bounds the size of the arrays.
+MERGE_BYTES = 1_000_000
+_NO_RANK = np.iinfo(np.int32).max
 
 
 def _char_class(kind: str) -> str:
@@ -65,21 +68,22 @@ class BatchBPE:
         vocab = spec["model"]["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self._bytes_of = _byte_alphabet()
-        self._byte_id = np.zeros(256, np.int64)
+        self._byte_id = np.zeros(256, np.int32)
         for ch, b in self._bytes_of.items():
             self._byte_id[b] = vocab[ch]
         self._base = max(vocab.values()) + 1
         keys = np.array([vocab[a] * self._base + vocab[b] for a, b in merges], np.int64)
-        self._made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        self._made = np.array([vocab[a + b] for a, b in merges], np.int32)
         order = np.argsort(keys, kind="stable")
-        self._keys, self._ranks = keys[order], order.astype(np.int64)
+        self._keys, self._ranks = keys[order], order.astype(np.int32)
         self._special = {t["content"]: t["id"] for t in spec.get("added_tokens") or ()}
         self._special_at = re.compile("|".join(map(re.escape, sorted(self._special, key=len, reverse=True)))) if self._special else None
         self._memo: dict[str, bytes] = {}
+        self._again: set[str] = set()  # keys of the memo that were needed again
         self._memo_most = memo
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * self._base + right
+        key = left.astype(np.int64) * self._base + right
         at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
         return np.where(self._keys[at] == key, self._ranks[at], _NO_RANK)
 
@@ -88,12 +92,12 @@ class BatchBPE:
         n = len(pieces)
         lens = np.fromiter(map(len, pieces), np.int64, n)
         sym = self._byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
-        seq = np.repeat(np.arange(n), lens)
+        seq = np.repeat(np.arange(n, dtype=np.int32), lens)
+        rank = np.full(len(sym), _NO_RANK)
+        inside = np.flatnonzero(seq[1:] == seq[:-1])
+        rank[inside] = self._rank(sym[inside], sym[inside + 1])
         done_seq, done_sym = [], []
         while len(sym):
-            rank = np.full(len(sym), _NO_RANK)
-            inside = np.flatnonzero(seq[1:] == seq[:-1])
-            rank[inside] = self._rank(sym[inside], sym[inside + 1])
             starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
             lowest = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(sym)]))
             over = lowest == _NO_RANK
@@ -112,9 +116,16 @@ class BatchBPE:
             sym[hit] = self._made[rank[hit]]
             stay = np.ones(len(sym), bool)
             stay[hit + 1] = False
-            sym, seq = sym[stay], seq[stay]
+            sym, seq, rank = sym[stay], seq[stay], rank[stay]
+            # Only the pairs that a merged symbol takes part in have another rank now.
+            now = hit - np.arange(len(hit))
+            now = np.concatenate([now, now[now > 0] - 1])
+            rank[now] = _NO_RANK
+            now = now[now + 1 < len(sym)]
+            now = now[seq[now] == seq[now + 1]]
+            rank[now] = self._rank(sym[now], sym[now + 1])
         if not done_seq:
-            return np.zeros(0, np.int64), np.zeros(n, np.int64)
+            return np.zeros(0, np.int32), np.zeros(n, np.int64)
         seq, sym = np.concatenate(done_seq), np.concatenate(done_sym)
         return sym[np.argsort(seq, kind="stable")], np.bincount(seq, minlength=n)
 
@@ -153,17 +164,23 @@ class BatchBPE:
                     parts.append(toks := self._pre_tokens(piece))
                     fresh.update(toks)
             split.append(parts)
-        if len(self._memo) + len(fresh) > self._memo_most:
-            self._memo = {k: v for k, v in self._memo.items() if k in fresh} if len(fresh) < self._memo_most else {}
+        known = fresh.intersection(self._memo)
+        if len(self._memo) + len(fresh) - len(known) > self._memo_most:
+            # What was needed more than once since the last time stays, if it is not too much itself.
+            keep = known | self._again if len(known) + len(self._again) < self._memo_most // 2 else known
+            self._memo, self._again = {k: self._memo[k] for k in keep}, set()
+        self._again |= known
         memo = self._memo
-        new = sorted(fresh.difference(memo))
+        new = list(fresh - known)
         if new:
-            ids, counts = self.merge([t.encode("utf-8", "surrogatepass") for t in new])
-            raw, ends = ids.astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
-            a = 0
-            for tok, b in zip(new, ends, strict=True):
-                memo[tok] = raw[a:b]
-                a = b
+            pieces = [t.encode("utf-8", "surrogatepass") for t in new]
+            sizes = np.cumsum([len(p) for p in pieces])
+            cuts = np.searchsorted(sizes, np.arange(MERGE_BYTES, sizes[-1], MERGE_BYTES))
+            for lo, hi in pairwise(np.unique(np.r_[0, cuts, len(new)]).tolist()):
+                ids, counts = self.merge(pieces[lo:hi])
+                raw, ends = ids.astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
+                for tok, a, b in zip(new[lo:hi], [0, *ends], ends, strict=False):
+                    memo[tok] = raw[a:b]
         for parts in split:
             yield b"".join(p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(memo.__getitem__, p)) for p in parts)
 
