@@ -210,6 +210,36 @@ def test_main_text_leaves_out_the_frame(spark):
     assert (got[6].text, got[6].n_chars, got[7].text) == ("", 0, "")
 
 
+def essay(rnd, n=40):
+    return " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+def test_template_decides_on_article_pages():
+    rnd = random.Random(5)
+    texts = [[essay(rnd, 6), essay(rnd), essay(rnd)] for _ in range(6)]
+    ask = "Sign up to the daily letter for more of the best"
+    page = "<html><body><nav><a href='/'>Home</a></nav><article><h1>{}</h1><p>{}</p><p>" + ask + "</p><p>{}</p></article><footer>Rights</footer></body></html>"
+    assert htmltext.extract([page.format(*t) for t in texts]) == ["\n".join(t) for t in texts]
+    # The article is the same on every page; the text that varies stands elsewhere.
+    page = "<html><body><article><p>A fixed teaser of some words</p></article><div class='q'><h1>{}</h1><p>{}</p><p>{}</p></div></body></html>"
+    assert htmltext.extract([page.format(*t) for t in texts]) == ["\n".join(t) for t in texts]
+
+
+def test_main_slot_without_article_or_telling_names():
+    rnd = random.Random(6)
+    texts = [[essay(rnd, 6), essay(rnd), essay(rnd)] for _ in range(6)]
+    page = "<html><body><div class='a'><p>{3}</p></div><form id='f'><div class='b'><h1>{0}</h1><p>{1}</p><p>{2}</p></div></form><div class='c'>{4}</div></body></html>"
+    assert htmltext.extract([page.format(*t, essay(rnd, 4), essay(rnd, 5)) for t in texts]) == ["\n".join(t) for t in texts]
+
+
+def test_copies_of_a_page_are_no_template():
+    rnd = random.Random(8)
+    texts = [essay(rnd) for _ in range(9)]
+    page = "<html><body><nav>{}</nav><article><p>{}</p><p>{}</p><p>{}</p></article></body></html>"
+    rows = [texts[:3]] * 3 + [texts[3:6], texts[6:9]] + [[essay(rnd) for _ in range(3)] for _ in range(4)]
+    assert htmltext.extract([page.format(essay(rnd, 3), *t) for t in rows]) == ["\n".join(t) for t in rows]
+
+
 def test_quoted_messages_are_linked_and_cut(spark):
     rows = [
         (1, 0, "user", "How do I sort a list in place?"),

@@ -1,15 +1,22 @@
 """Main-text extraction by template deduction from equivalence classes of tokens.
 
-Pages of one host are generated from a few templates.  A token here is a tag with
-its place in the document tree, or a word with the place of its block.  Over the
-pages of a host, tokens are grouped by occurrence vector (how often each page has
-them).  A class with enough tokens on enough pages is valid if its tokens keep
-one order on all pages; valid classes nest into the class that frames all pages,
-each within one gap of it.  Together they are the template: markup and words that
-belong to the frame.  What lies in the gaps are the slots.  The main slot is the
-template's article or main element, or, where a site marks none, every slot that
-the frame's own navigation, advert, comment and similar elements do not enclose;
-blocks whose words all belong to the template are then frame as well.
+Pages of one host form a cluster and are generated from a template.  A token is a tag
+with its place in the document tree, a word with the place of its block, or a whole
+block; tokens stand in document order.  Tags are grouped by occurrence vector (how
+often each page has them).  The class that most pages have once is the frame; other
+classes join it where each of their tags keeps to one gap.  Words that share a place
+and a vector on at least half of a cluster are template if they keep one order, and
+so is a block that repeats between differing neighbours.
+
+What is left varies from page to page.  The main slot is found by going down the
+template's elements as long as one of them holds nearly all that varies; it may be
+any element, and an article that says the same on every page is none.  Names
+(navigation, adverts, comments and similar) only lower the weight of an element on the way,
+and inside the main slot they tell insets from text.
+
+Pages without a partner in their host, and clusters in which nothing varies, give no
+template; there alone the elements' names decide (article, then main, then all that
+is not named as frame).
 
 Pages are handled in groups of one host with a bounded number of pages, so a host
 that holds a third of all pages is spread over many tasks.
@@ -19,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 from collections import Counter, defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -32,8 +40,12 @@ from tidewell.llm.common import in_small_batches
 
 #: Pages of a host that are compared with each other.
 GROUP_PAGES = 128
-#: A class needs so many tokens, and pages that share them: a number and a share of the group.
+#: A class of words needs so many tokens, and pages that share them: a number and a share of the cluster.
 LARGE, FREQUENT, SHARE = 3, 4, 0.5
+#: An element is gone down into if it holds this share of what varies; text in elements named as frame counts less.
+DOMINANT, NAMED = 0.8, 0.25
+#: An element of the template stands once on a page; so many pages in proportion may have it more often.
+STRAY = 0.1
 #: With more hosts than this the counts are joined by a shuffle instead of being broadcast.
 BROADCAST_HOSTS = 100_000
 
@@ -55,6 +67,8 @@ _FRAME_NAMES = frozenset(
     " navigation breadcrumb breadcrumbs comment comments disqus respond replies footer header masthead related recommended recommendations share sharing social"
     " newsletter subscribe subscription signup login popup modal overlay widget toolbar pagination pager skip".split()
 )
+#: Elements that can hold a whole main text.
+_HOLDS = frozenset("html body div article main section form center dialog aside nav td tr tbody table fieldset header footer".split())
 _ENDS_P = _BLOCK - {"html", "head", "body"}
 _ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -63,40 +77,43 @@ _ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 class Block:
     """A run of text between block boundaries."""
 
-    path: str
-    frame: bool
+    within: tuple[str, ...]  # paths of the enclosing elements, outermost first
+    named: tuple[bool, ...]  # which of them are frame by their name
+    hidden: bool
     main: int  # 2 in an article, 1 in a main element, 0 elsewhere
     parts: list[str] = field(default_factory=list)
 
+    @property
+    def path(self) -> str:
+        return self.within[-1] if self.within else ""
+
     def text(self) -> str:
         raw = "".join(self.parts)
         return " ".join((html.unescape(raw) if "&" in raw else raw).split())
 
 
-def _is_frame(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
-    """Whether an element is frame by itself, and its class for the path."""
-    if tag in _FRAME_TAGS or (tag == "header" and not in_article):
-        return True, ""
+def _is_frame(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, str]:
+    """Whether an element is frame by its name, whether it is hidden, and its class for the path."""
+    named = tag in _FRAME_TAGS or (tag == "header" and not in_article)
     if not attrs.strip():
-        return False, ""
+        return named, False, ""
     found = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTR.findall(attrs)}
     label = found.get("class", "")
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
-        return True, label
-    if found.get("role", "").lower() in _FRAME_ROLES:
-        return True, label
+        return named, True, label
+    if named or found.get("role", "").lower() in _FRAME_ROLES:
+        return True, False, label
     if tag in ("article", "main", "body", "html"):
         names = set(map(str.lower, _NAME_PART.findall(label))) if tag == "article" else set()
-        return bool(names & {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "related", "sponsored"}), label
+        return bool(names & {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "related", "sponsored"}), False, label
     names = set(map(str.lower, _NAME_PART.findall(f"{label} {found.get('id', '')}")))
-    return bool(names & _FRAME_NAMES), label
+    return bool(names & _FRAME_NAMES), False, label
 
 
-def parse(page: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
-    """Blocks in page order, and the page's markup tokens (tag, path)."""
-    blocks: list[Block] = []
-    tokens: list[tuple[str, str]] = []
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, path, frame, main
+def parse(page: str | None) -> list[tuple[str, str] | Block]:
+    """A page's markup tokens (tag, path) and its blocks, in document order."""
+    tokens: list[tuple[str, str] | Block] = []
+    stack: list[tuple[str, str, tuple[str, ...], tuple[bool, ...], bool, int]] = [("", "", (), (), False, 0)]  # tag, path, within, named, hidden, main
     block: Block | None = None
     page = page or ""
     at, end = 0, len(page)
@@ -106,13 +123,12 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
         if block is None:
             if piece.isspace():
                 return
-            _, path, frame, main = stack[-1]
-            blocks.append(block := Block(path, frame, main))
+            tokens.append(block := Block(*stack[-1][2:]))
         block.parts.append(piece)
 
     def close(until: int) -> None:
         while len(stack) > until:
-            tag, path, _, _ = stack.pop()
+            tag, path, *_ = stack.pop()
             tokens.append((f"/{tag}", path))
 
     while at < end:
@@ -151,9 +167,9 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
             if tag == "hr":
                 block = None
             continue
-        in_article = stack[-1][3] == 2
-        frame, label = _is_frame(tag, m[3], in_article)
-        if tag not in _BLOCK and not frame:
+        in_article = stack[-1][5] == 2
+        named, hide, label = _is_frame(tag, m[3], in_article)
+        if tag not in _BLOCK and not named and not hide:
             continue
         if tag in _BLOCK:
             block = None
@@ -161,75 +177,180 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
                 close(p)
             if tag in _ENDS_SAME and stack[-1][0] in _ENDS_SAME[tag]:
                 close(len(stack) - 1)
-        elif frame:
+        else:
             block = None
-        _, path, outer, main = stack[-1]
+        _, path, within, names, hidden, main = stack[-1]
         path = f"{path}/{tag}.{label}" if label else f"{path}/{tag}"
         main = 2 if tag == "article" else max(main, 1) if tag == "main" else main
-        stack.append((tag, path, outer or frame, main))
+        stack.append((tag, path, (*within, path), (*names, named), hidden or hide, main))
         tokens.append((tag, path))
     close(1)
-    return blocks, tokens
+    return tokens
+
+
+@dataclass
+class Page:
+    """A parsed page: where its tags first stand, how often, and its visible blocks with their words."""
+
+    tags: dict[tuple[str, str], int]
+    counts: Counter
+    blocks: list[tuple[Block, str, list[str]]]
+
 
+def read(page: str | None) -> Page:
+    tags: dict[tuple[str, str], int] = {}
+    counts: Counter = Counter()
+    blocks = []
+    for at, t in enumerate(parse(page)):
+        if isinstance(t, Block):
+            if not t.hidden and (text := t.text()):
+                blocks.append((t, text, text.split()))
+        else:
+            tags.setdefault(t, at)
+            counts[t] += 1
+    return Page(tags, counts, blocks)
 
-def deduce(pages: list[list[tuple[str, str]]]) -> set[tuple[str, str]]:
-    """The template of a group: tokens of its valid, nested equivalence classes."""
-    n = len(pages)
-    least = max(FREQUENT, int(np.ceil(SHARE * n)))
-    if n < least:
+
+def elements(pages: list[Page]) -> set[str]:
+    """Paths of the template's elements: the frame of a cluster, and what keeps to one gap of it."""
+    least = max(2, int(np.ceil(SHARE * len(pages))))
+    seen: dict[tuple[str, str], list[int]] = defaultdict(list)
+    for k, page in enumerate(pages):
+        for t, c in page.counts.items():
+            if c == 1:
+                seen[t].append(k)
+    several = Counter(t for page in pages for t, c in page.counts.items() if c > 1)
+    classes: dict[tuple[int, ...], list[tuple[str, str]]] = defaultdict(list)
+    for t, where in seen.items():
+        if len(where) >= least and several[t] <= STRAY * len(where):
+            classes[tuple(where)].append(t)
+    if not classes:
+        return set()
+    vector = max(classes, key=lambda v: (len(v), len(classes[v])))
+    frame: list[tuple[str, str]] = []
+    for t in sorted(classes[vector], key=pages[vector[0]].tags.__getitem__):
+        if not frame or all(pages[k].tags[frame[-1]] < pages[k].tags[t] for k in vector):
+            frame.append(t)
+    marks = {k: [pages[k].tags[t] for t in frame] for k in vector}
+    kept = set(frame)
+    for where, members in classes.items():
+        inside = [k for k in where if k in marks]
+        if where != vector:
+            kept.update(t for t in members if len({bisect(marks[k], pages[k].tags[t]) for k in inside}) == 1)
+    return {path for tag, path in kept if not tag.startswith("/") and (f"/{tag}", path) in kept}
+
+
+def repeated_words(pages: list[Page]) -> set[tuple[str, str]]:
+    """The template's words, each with its place."""
+    if len(pages) < FREQUENT:
         return set()
     seen: dict[tuple[str, str], dict[int, int]] = defaultdict(dict)
-    for k, tokens in enumerate(pages):
-        for t, c in Counter(tokens).items():
+    order: list[dict[tuple[str, str], int]] = []
+    for k, page in enumerate(pages):
+        found = [(w, b.path) for b, _, words in page.blocks for w in words]
+        order.append({t: i for i, t in reversed(list(enumerate(found)))})
+        for t, c in Counter(found).items():
             seen[t][k] = c
+    least = max(FREQUENT, int(np.ceil(SHARE * len(pages))))
     classes: dict[tuple, list[tuple[str, str]]] = defaultdict(list)
     for t, where in seen.items():
         if len(where) >= least:
-            classes[tuple(sorted(where.items()))].append(t)
-    first = [{t: i for i, t in reversed(list(enumerate(tokens)))} for tokens in pages]
-    valid: list[tuple[tuple, list[tuple[str, str]]]] = []
-    for vector, members in classes.items():
-        if len(members) < LARGE:
-            continue
-        lead = first[vector[0][0]]
-        members.sort(key=lead.__getitem__)
-        if all(all(f[a] < f[b] for a, b in zip(members, members[1:], strict=False)) for f in (first[k] for k, _ in vector)):
-            valid.append((vector, members))
-    if not valid:
-        return set()
-    # The frame is the class that most pages have once; the others must each keep to one of its gaps.
-    frame_vector, frame = max(valid, key=lambda x: (len(x[0]), -sum(c for _, c in x[0]), len(x[1])))
-    template = set(frame)
-    marks = {k: np.array([first[k][t] for t in frame]) for k, _ in frame_vector}
-    for vector, members in valid:
-        gaps = {tuple(np.searchsorted(marks[k], [first[k][members[0]], first[k][members[-1]]])) for k, _ in vector if k in marks}
-        if vector != frame_vector and len(gaps) == 1 and len(set(next(iter(gaps)))) == 1:
-            template.update(members)
-    return template
+            classes[t[1], tuple(where.items())].append(t)
+    words: set[tuple[str, str]] = set()
+    for (_, vector), members in classes.items():
+        members.sort(key=order[vector[0][0]].__getitem__)
+        if len(members) >= LARGE and all(all(o[a] < o[b] for a, b in zip(members, members[1:], strict=False)) for o in (order[k] for k, _ in vector)):
+            words.update(members)
+    return words
+
+
+def repeated_blocks(chosen: list[list[tuple[Block, str, list[str]]]]) -> set[tuple[str, str]]:
+    """Blocks of the main slot that repeat between differing neighbours; copies of a page repeat them between the same."""
+    around: dict[tuple[str, str], tuple[set, set]] = defaultdict(lambda: (set(), set()))
+    for k, page in enumerate(chosen):
+        texts = [None, *(text for _, text, _ in page), None]
+        for i, (b, text, words) in enumerate(page):
+            if len(words) >= LARGE:
+                where, neighbours = around[text, b.path]
+                where.add(k)
+                neighbours.add((texts[i], texts[i + 2]))
+    return {t for t, (where, neighbours) in around.items() if min(len(where), len(neighbours)) >= FREQUENT}
+
+
+def main_slot(pages: list[Page], inside: set[str], words: set[tuple[str, str]]) -> str | None:
+    """The path of the element that holds what varies; None if nothing does."""
+    held: Counter = Counter()
+    below: dict[str, Counter] = defaultdict(Counter)
+    frame: set[str] = set()
+    for page in pages:
+        for b, _, found in page.blocks:
+            weight = float(sum((w, b.path) not in words for w in found))
+            if not weight:
+                continue
+            lower = None
+            for path, named in zip(reversed(b.within), reversed(b.named), strict=True):
+                if path in inside:
+                    held[path] += weight
+                    if lower:
+                        below[path][lower] += weight
+                    lower = path
+                if named:
+                    weight *= NAMED
+                    frame.add(path)
+            held[""] += weight
+            if lower:
+                below[""][lower] += weight
+    if not held:
+        return None
+    at = ""
+    while below[at]:
+        path, weight = max(below[at].items(), key=lambda x: (x[1], x[0]))
+        tag = path.rsplit("/", 1)[-1].split(".", 1)[0]
+        # Left where it is, an element named as frame would be taken for an inset.
+        if tag not in _HOLDS or weight < (0.5 if path in frame else DOMINANT) * held[at]:
+            break
+        at = path
+        if tag in ("article", "main"):
+            break
+    return at
+
+
+def by_names(page: Page) -> list[tuple[Block, str, list[str]]]:
+    """The main blocks of a page that has no template."""
+    live = [x for x in page.blocks if not any(x[0].named)]
+    top = max((b.main for b, _, _ in live), default=0)
+    return [x for x in live if x[0].main == top]
+
+
+def in_slot(page: Page, slot: str) -> list[tuple[Block, str, list[str]]]:
+    """The blocks of a slot without its insets; a heading of the first level may stand outside."""
+    if slot and not any(slot in b.within for b, _, _ in page.blocks):
+        return by_names(page)
+    out = []
+    for x in page.blocks:
+        b = x[0]
+        at = b.within.index(slot) + 1 if slot in b.within else 0
+        title = b.path.rsplit("/", 1)[-1].split(".", 1)[0] == "h1"
+        if (at or not slot or title) and not any(b.named[at:]):
+            out.append(x)
+    return out
 
 
 def extract(pages: Sequence[str | None]) -> list[str]:
     """The main text of each page of a group of one host."""
-    parsed = [parse(p) for p in pages]
-    found = []
-    for blocks, tokens in parsed:
-        # Words of the frame's candidates are tokens too; those of a marked article are its content.
-        top = max((b.main for b in blocks if not b.frame), default=0)
-        words = [] if top else [(w, b.path) for b in blocks if not b.frame for w in b.text().split()]
-        found.append(tokens + words)
-    template = deduce(found)
-    out = []
-    for blocks, _ in parsed:
-        live = [b for b in blocks if not b.frame]
-        top = max((b.main for b in live), default=0)
-        texts = []
-        for b in live:
-            if b.main < top:
-                continue
-            t = b.text()
-            if t and (top or not all((w, b.path) in template for w in t.split())):
-                texts.append(t)
-        out.append("\n".join(texts))
+    parsed = [read(p) for p in pages]
+    out = [""] * len(parsed)
+    for members in [list(range(len(parsed)))]:
+        cluster = [parsed[k] for k in members]
+        words = repeated_words(cluster)
+        inside = elements(cluster) if len(cluster) > 1 else set()
+        slot = main_slot(cluster, inside, words) if inside else None
+        chosen = [by_names(page) if slot is None else in_slot(page, slot) for page in cluster]
+        if slot is not None:
+            blocks = repeated_blocks(chosen)
+            chosen = [[x for x in page if (x[1], x[0].path) not in blocks and not all((w, x[0].path) in words for w in x[2])] for page in chosen]
+        for k, page in zip(members, chosen, strict=True):
+            out[k] = "\n".join(text for _, text, _ in page)
     return out
 
 
