@@ -232,6 +232,19 @@ def test_main_slot_without_article_or_telling_names():
     assert htmltext.extract([page.format(*t, essay(rnd, 4), essay(rnd, 5)) for t in texts]) == ["\n".join(t) for t in texts]
 
 
+@pytest.mark.parametrize("each", [3, 12])
+def test_every_template_of_a_host_is_found(each):
+    rnd = random.Random(7)
+    pages, want = [], []
+    for k in range(3 * each):
+        a, b = essay(rnd), essay(rnd)
+        kind = "xyz"[k % 3]
+        own = {"x": "Prices are shown with all taxes", "y": "Replies close after thirty quiet days", "z": "Printed editions ship within one week"}[kind]
+        pages.append(f"<html><body><div class='{kind}1'>{own}</div><div class='{kind}2'><h2>{a}</h2><p>{own}</p><p>{b}</p></div><div class='{kind}3'><p>End of page {kind}</p></div></body></html>")
+        want.append(f"{a}\n{b}")
+    assert htmltext.extract(pages) == want
+
+
 def test_copies_of_a_page_are_no_template():
     rnd = random.Random(8)
     texts = [essay(rnd) for _ in range(9)]

@@ -1,6 +1,7 @@
 """Main-text extraction by template deduction from equivalence classes of tokens.
 
-Pages of one host form a cluster and are generated from a template.  A token is a tag
+Pages of one host are generated from a few templates.  Pages whose markup is mostly
+the same form a cluster, and every cluster has its own template.  A token is a tag
 with its place in the document tree, a word with the place of its block, or a whole
 block; tokens stand in document order.  Tags are grouped by occurrence vector (how
 often each page has them).  The class that most pages have once is the frame; other
@@ -41,7 +42,9 @@ from tidewell.llm.common import in_small_batches
 #: Pages of a host that are compared with each other.
 GROUP_PAGES = 128
 #: A class of words needs so many tokens, and pages that share them: a number and a share of the cluster.
-LARGE, FREQUENT, SHARE = 3, 4, 0.5
+LARGE, FREQUENT, SHARE = 3, 3, 0.5
+#: Pages with at least this Jaccard index of their tags have one template.
+ALIKE = 0.5
 #: An element is gone down into if it holds this share of what varies; text in elements named as frame counts less.
 DOMINANT, NAMED = 0.8, 0.25
 #: An element of the template stands once on a page; so many pages in proportion may have it more often.
@@ -211,6 +214,20 @@ def read(page: str | None) -> Page:
     return Page(tags, counts, blocks)
 
 
+def clusters(pages: list[Page]) -> list[list[int]]:
+    """Pages by template: each joins the first cluster whose first page has mostly the same tags."""
+    out: list[tuple[set, list[int]]] = []
+    for k, page in enumerate(pages):
+        own = set(page.tags)
+        for lead, members in out:
+            if len(own & lead) >= ALIKE * len(own | lead):
+                members.append(k)
+                break
+        else:
+            out.append((own, [k]))
+    return [members for _, members in out]
+
+
 def elements(pages: list[Page]) -> set[str]:
     """Paths of the template's elements: the frame of a cluster, and what keeps to one gap of it."""
     least = max(2, int(np.ceil(SHARE * len(pages))))
@@ -340,7 +357,7 @@ def extract(pages: Sequence[str | None]) -> list[str]:
     """The main text of each page of a group of one host."""
     parsed = [read(p) for p in pages]
     out = [""] * len(parsed)
-    for members in [list(range(len(parsed)))]:
+    for members in clusters(parsed):
         cluster = [parsed[k] for k in members]
         words = repeated_words(cluster)
         inside = elements(cluster) if len(cluster) > 1 else set()
