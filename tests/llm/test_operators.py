@@ -146,6 +146,25 @@ def test_one_of_each_near_group_stays(spark):
     assert len(ids) == 2 and 3 in ids
 
 
+def test_rows_that_share_an_id_or_have_none_are_told_apart(spark):
+    words = [f"w{i}" for i in range(100)]
+    first, near = " ".join(words), " ".join(words[:99] + ["other"])
+    lone, bare = "a text that nothing else is like at all", " ".join(f"v{i}" for i in range(60))
+    rows = [(7, first), (7, near), (5, lone), (5, bare), (None, bare), (None, near), (9, first), (None, "no id but this text twice here"), (None, "no id but this text twice here")]
+    rows += [(None, " ".join(f"u{i}" for i in range(80))), (None, " ".join([*(f"u{i}" for i in range(79)), "other"])), (3, bare), (None, None), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.n_links) for r in jaccard.jaccard_components(frame).collect())
+    u = [(-1, 76, -1, 1)] * 2
+    want = [(7, 96, 7, 3), (7, 96, 7, 3), (9, 96, 7, 3), (-1, 96, 7, 3), (5, 5, 5, 0), (5, 56, 3, 2), (-1, 56, 3, 2), (3, 56, 3, 2), *u]
+    want += [(-1, 3, -1, 1)] * 2 + [(-1, 0, -1, 0)] * 2
+    assert got == sorted(want)
+    kept = [(r.doc_id, r.text) for r in jaccard.without_near_duplicates(frame).collect()]
+    assert len(kept) == 7
+    assert (5, lone) in kept and (3, bare) in kept and kept.count((None, None)) == 2
+    assert sum(i == 7 for i, _ in kept) == 1 and kept.count((None, "no id but this text twice here")) == 1
+    assert sum(i is None and (t or "").startswith("u0 ") for i, t in kept) == 1
+
+
 def test_top_k_is_exact(spark):
     rnd = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rnd.normal(size=32)]) for i in range(240)]

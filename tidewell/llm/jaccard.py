@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import checkpointed, in_small_batches, stored
+from tidewell.llm.common import checkpointed, in_small_batches, stored, word_count
 from tidewell.llm.components import components
 from tidewell.llm.sets import mixed, shingles
 
@@ -190,9 +190,9 @@ def _roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]], rank: np.ndarray)
 
 
 def signatures(docs: DataFrame, n: int, percent: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, n_shingles, set_hash, bands`` of every document; no shuffle."""
+    """``doc_id, text_hash, n_shingles, set_hash, bands`` of every document; no shuffle."""
     bands = bands_for(percent)
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
 
     def run(batches):
         for batch in batches:
@@ -206,11 +206,11 @@ def signatures(docs: DataFrame, n: int, percent: int, text: str = "text", doc_id
                 ends.append(ends[-1] + bands * bool(len(s)))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["doc_id", "n_shingles", "set_hash", "bands"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                names=["doc_id", "text_hash", "n_shingles", "set_hash", "bands"],
             )
 
-    return in_small_batches(src).mapInArrow(run, "doc_id long, n_shingles long, set_hash string, bands array<long>")
+    return in_small_batches(src).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_hash string, bands array<long>")
 
 
 def _compare(percent: int, n: int):
@@ -222,27 +222,27 @@ def _compare(percent: int, n: int):
         if not len(rows):
             return
         sets = [shingles(t, n) for t in rows.pop("text")]
-        # An id can stand for several texts; only the one with the node's set counts, and once.
+        # Only a text with the node's set counts, and once.
         fits = np.array([bool(len(s)) and set_hash(s) == h for s, h in zip(sets, rows["set_hash"], strict=True)], bool)
         rows["at"] = np.arange(len(rows))
-        rows = rows[fits].drop_duplicates(["class", "i", "j", "rep"])
+        rows = rows[fits].drop_duplicates(["class", "i", "j", "node"])
         if not len(rows):
             return
         sets = [sets[k] for k in rows["at"]]
         group = rows.groupby(["class", "i", "j"], sort=False).ngroup().to_numpy()
         side = np.where(rows["i"].to_numpy() == rows["j"].to_numpy(), -1, rows["block"].to_numpy())
-        rep, copies = rows["rep"].to_numpy(), rows["copies"].to_numpy()
+        node, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
         pairs = list(SignatureTree(sets, group).links(percent, side))
         linked = np.zeros(len(sets), np.int64)
         for i, j in pairs:
             np.add.at(linked, i, copies[j])
             np.add.at(linked, j, copies[i])
-        root = _roots(len(sets), pairs, rep)
+        root = _roots(len(sets), pairs, node)
         out = linked > 0
         yield pa.RecordBatch.from_pydict(
             {
-                "rep": pa.array(rep[out], pa.int64()),
-                "root": pa.array(rep[root[out]], pa.int64()),
+                "node": pa.array(node[out], pa.int64()),
+                "root": pa.array(node[root[out]], pa.int64()),
                 "linked": pa.array(linked[out], pa.int64()),
                 "whole": pa.array(rows["blocks"].to_numpy()[out] == 1, pa.bool_()),
             }
@@ -251,69 +251,92 @@ def _compare(percent: int, n: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Link documents whose shingle sets have a Jaccard index of ``percent`` or more.
+def _linked(docs: DataFrame, n: int, percent: int, text: str, doc_id: str) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, first, n_links``, a row per document.
 
-    Returns ``doc_id, n_shingles, component_id, n_links``, one row per input row;
-    ``component_id`` is the smallest id reachable by links, the own one included,
-    and ``n_links`` counts the other documents that the document links with,
-    copies included.  Null, empty and blank texts have no shingles and link with
-    nothing.  Documents without an id take part only as copies of a text that has
-    one; their component is null otherwise.  Rows that share an id are told apart
-    by their sets.  An empty table gives an empty result.
+    ``first`` (no_id, doc_id, text_hash) is the first document of the component;
+    null for documents without shingles.
     """
     signed = stored(signatures(docs, n, percent, text, doc_id))
+    # A node is a distinct set, numbered once and for all by being stored.
     nodes = stored(
         signed.where("n_shingles > 0")
         .groupBy("set_hash")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
-    keyed = nodes.where("rep is not null").select("rep", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low")
-    meets = keyed.join(shared, "key").where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low")
+    meets = keyed.join(shared, "key").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
     classes = checkpointed(components(meets))
 
     per_class = classes.groupBy(F.col("component").alias("class")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = (
         classes.withColumnRenamed("component", "class")
         .join(per_class, "class")
-        .join(nodes.select(F.col("rep").alias("node"), "set_hash", "copies"), "node")
-        .select("class", "blocks", F.col("node").alias("rep"), "set_hash", "copies", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+        .join(nodes.select("node", "first", "set_hash", "copies"), "node")
+        .select("class", "blocks", "node", "first", "set_hash", "copies", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     )
     members = checkpointed(members)
     fetch = members if members.count() > BROADCAST_IDS else F.broadcast(members)
-    texts = docs.select(F.col(doc_id).cast("long").alias("fetch_id"), F.col(text).alias("text"))
-    rows = texts.join(fetch, F.col("fetch_id") == F.col("rep")).drop("fetch_id")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    texts = docs.select(F.col(doc_id).cast("long").alias("fetch_id"), F.xxhash64(text).alias("fetch_hash"), F.col(text).alias("text"))
+    by_id = (F.col("fetch_id") == F.col("first.doc_id")) & (F.col("fetch_hash") == F.col("first.text_hash"))
+    rows = texts.join(fetch, by_id)
+    if not members.where("first.no_id").isEmpty():
+        # Texts that no document with an id has; copies are fetched once.
+        bare = texts.where("fetch_id is null").dropDuplicates(["text"])
+        rows = rows.union(bare.join(fetch.where("first.no_id"), F.col("fetch_hash") == F.col("first.text_hash")))
+    rows = rows.drop("fetch_id", "fetch_hash", "first").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
-    found = checkpointed(rows.repartition("class", "i", "j").mapInArrow(_compare(percent, n), "rep long, root long, linked long, whole boolean"))
+    found = checkpointed(rows.repartition("class", "i", "j").mapInArrow(_compare(percent, n), "node long, root long, linked long, whole boolean"))
 
-    links = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
-    final = found.where("whole").select(F.col("rep").alias("node"), F.col("root").alias("component"))
-    across = found.where("not whole").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    links = found.groupBy("node").agg(F.sum("linked").alias("linked"))
+    final = found.where("whole").select("node", F.col("root").alias("component"))
+    across = found.where("not whole").select(F.col("node").alias("a"), F.col("root").alias("b"))
     if not across.isEmpty():
         final = final.union(components(across))
-    ids = nodes.select("set_hash", F.col("rep").alias("node"), "copies")
-    ids = checkpointed(ids.join(final, "node", "left").join(links, F.col("node") == F.col("rep"), "left").select("set_hash", F.coalesce("component", "node").alias("found"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links")))
-    return signed.join(ids, "set_hash", "left").select(
+    final = checkpointed(final)
+    lowest = final.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("lowest"))
+    final = final.join(lowest, "component").join(links, "node").select("node", "lowest", "linked")
+    ids = nodes.select("set_hash", "node", "first", "copies").join(final, "node", "left")
+    ids = checkpointed(ids.select("set_hash", F.coalesce("lowest", "first").alias("first"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")))
+    return signed.join(ids, "set_hash", "left").select("doc_id", "text_hash", "n_shingles", "first", "n_links")
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Link documents whose shingle sets have a Jaccard index of ``percent`` or more.
+
+    Returns ``doc_id, n_shingles, component_id, n_links``, one row per input row;
+    ``component_id`` is the smallest id reachable by links, the own one included,
+    and ``n_links`` counts the other documents that the document links with,
+    copies included.  Null, empty and blank texts have no shingles and link with
+    nothing.  Documents without an id take part like all others; the component is
+    null if none of its documents has an id.  Rows that share an id are told apart
+    by their sets.  An empty table gives an empty result.
+    """
+    return _linked(docs, n, percent, text, doc_id).select(
         "doc_id",
         "n_shingles",
-        F.coalesce("found", "doc_id").alias("component_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
 def without_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Keep the document with the smallest id of every component, all columns included.
 
-    Documents that link with nothing stay, as do those without an id.  Of rows
-    alike in id and text one stays.
+    Documents that link with nothing stay.  Those without an id come after all that
+    have one.  Of rows alike in id and text one stays; rows without both an id and
+    words all stay.
     """
-    found = stored(jaccard_components(docs, n, percent, text, doc_id))
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    drop = checkpointed(drop)
+    found = stored(_linked(docs, n, percent, text, doc_id))
+    drop = found.where("n_shingles > 0 and not (doc_id <=> first.doc_id and text_hash = first.text_hash)")
+    drop = checkpointed(drop.select(F.col("doc_id").alias("dropped_id"), F.col("text_hash").alias("dropped_hash")).distinct())
     if drop.count() <= BROADCAST_IDS:
         drop = F.broadcast(drop)
-    kept = docs.join(drop, docs[doc_id].cast("long") == drop["dropped_id"], "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates([doc_id, text])
+    kept = docs.join(drop, docs[doc_id].cast("long").eqNullSafe(drop["dropped_id"]) & (F.xxhash64(docs[text]) == drop["dropped_hash"]), "left_anti")
+    repeated = found.where("doc_id is not null or n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    bare = F.col(doc_id).isNull() & (word_count(F.col(text)) == 0)
+    return kept.where(~bare).dropDuplicates([doc_id, text]).union(kept.where(bare))
