@@ -289,6 +289,18 @@ def test_quoted_messages_are_linked_and_cut(spark):
     assert reply_ordered(frame.limit(0)).count() == 0
 
 
+def test_quotes_that_nobody_said_stay(spark):
+    rows = [
+        (1, 0, "user", "What of this?\n> a saying from a book\n>\n> and its end\n>>> print(1)\nNo idea."),
+        (1, 1, "assistant", "U wrote:\n> No idea.\n>> a saying from a book\n\nA proverb.\n> new words"),
+        (2, 0, "user", "> alone"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 0].text == rows[0][3] and got[2, 0].text == "> alone"
+    assert got[1, 1].text == "A proverb.\n> new words"
+    assert (got[1, 1].reply_to, got[1, 0].n_linked) == (0, 0)
+
+
 def test_pipeline_against_its_stages(spark):
     import corpus_pipeline
 

@@ -4,8 +4,9 @@ Lines are parsed into quote levels (a line's leading ``>`` marks).  Every quoted
 passage, that is a run of lines of one level without a blank line, is normalised
 and hashed, whole and line by line; so is what each message says itself.  A
 quoted passage is linked to the latest earlier message of the conversation that
-said it.  A message replies to the one from which it quotes most at its shallowest
-linked level.  Conversations come out without quotes, a row per message, ordered
+said it.  Quoted text that no earlier message holds stays in the text, with its
+marks.  A message replies to the one from which it quotes most at its shallowest
+linked level.  Conversations come out without quotes of each other, a row per message, ordered
 by ``thread`` (the turn its chain of replies starts from) and ``turn``: a message
 always follows the one it replies to.
 
@@ -26,14 +27,14 @@ _MARKS = r"^(?:[ \t]*>)+"
 
 
 def quote_lines(text: Column) -> Column:
-    """Lines as array<struct<level, raw, norm>>; ``norm`` is lower case with single spaces."""
+    """Lines as array<struct<level, line, norm>>; ``norm`` is without marks, in lower case with single spaces."""
 
     def line(x: Column) -> Column:
         marks = F.regexp_extract(x, _MARKS, 0)
         raw = F.regexp_replace(x, _MARKS + " ?", "")
         return F.struct(
             F.char_length(F.regexp_replace(marks, "[^>]", "")).alias("level"),
-            raw.alias("raw"),
+            x.alias("line"),
             F.trim(F.regexp_replace(F.lower(raw), r"\s+", " ")).alias("norm"),
         )
 
@@ -41,7 +42,7 @@ def quote_lines(text: Column) -> Column:
 
 
 def _parsed(messages: DataFrame) -> DataFrame:
-    """Add ``lines``, the passages' units and the own text."""
+    """Add ``lines``, the passages and their units."""
     df = messages.withColumn("lines", quote_lines(F.col("text")))
     n = F.size("lines")
 
@@ -57,24 +58,47 @@ def _parsed(messages: DataFrame) -> DataFrame:
     def passage(s: Column, k: Column) -> Column:
         end = F.coalesce(F.get(F.col("starts"), k + 1), n)
         body = F.transform(F.slice("lines", s + 1, end - s), lambda x: x["norm"])
-        return F.struct(at(s)["level"].alias("level"), F.array_join(F.filter(body, lambda x: x != ""), " ").alias("norm"))
+        return F.struct(at(s)["level"].alias("level"), F.array_join(F.filter(body, lambda x: x != ""), " ").alias("norm"), s.alias("first"), (end - 1).alias("last"))
 
     df = df.withColumn("passages", F.transform("starts", passage))
     single = F.transform(F.filter("lines", lambda x: x["norm"] != ""), lambda x: F.struct(x["level"].alias("level"), x["norm"].alias("norm")))
+    whole = F.transform("passages", lambda x: F.struct(x["level"].alias("level"), x["norm"].alias("norm")))
 
     def unit(x: Column) -> Column:
         return F.struct(x["level"].alias("level"), F.xxhash64(x["norm"]).alias("h"), F.char_length(x["norm"]).alias("weight"))
 
-    df = df.withColumn("units", F.array_distinct(F.transform(F.concat("passages", single), unit)))
+    df = df.withColumn("units", F.array_distinct(F.transform(F.concat(whole, single), unit)))
+
+    return df.withColumn("n_quoted", F.size(F.filter("passages", lambda x: x["level"] > 0)).cast("long"))
+
+
+def _with_own(df: DataFrame) -> DataFrame:
+    """Add the own text: all lines but the quoted ones whose passage or line is in ``known`` (hashes)."""
+    n = F.size("lines")
+
+    def at(i: Column) -> Column:
+        return F.get(F.col("lines"), i)
+
+    def is_known(x: Column) -> Column:
+        return F.array_contains(F.col("known"), F.xxhash64(x["norm"]))
+
+    whole = F.filter("passages", lambda x: (x["level"] > 0) & is_known(x))
+    df = df.withColumn("known", F.coalesce("known", F.array().cast("array<long>")))
+    df = df.withColumn("cut", F.flatten(F.transform(whole, lambda x: F.sequence(x["first"], x["last"]))))
+
+    def goes(i: Column) -> Column:
+        return (at(i)["level"] > 0) & (F.array_contains(F.col("cut"), i) | is_known(at(i)))
 
     def kept(i: Column) -> Column:
-        # A line such as "X wrote:" right before a quote introduces it.
-        introduces = at(i)["norm"].rlike("(?:wrote|writes|schrieb|écrit|escribió) ?:$") & (F.coalesce(at(i + 1)["level"], F.lit(0)) > 0)
-        return (at(i)["level"] == 0) & ~introduces
+        # A line such as "X wrote:" right before a quote that goes introduces it.
+        after = F.coalesce(goes(i + 1), F.lit(False))
+        introduces = (at(i)["level"] == 0) & at(i)["norm"].rlike("(?:wrote|writes|schrieb|écrit|escribió) ?:$") & after
+        # A bare mark stays between quoted lines that stay.
+        bare = (at(i)["level"] > 0) & (at(i)["norm"] == "") & (after | (F.coalesce(at(i + 1)["level"], F.lit(0)) == 0))
+        return ~goes(i) & ~introduces & ~bare
 
-    own = F.transform(F.filter(F.sequence(F.lit(0), n - 1), kept), lambda i: at(i)["raw"])
-    df = df.withColumn("own", F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", ""))
-    return df.withColumn("n_quoted", F.size(F.filter("passages", lambda x: x["level"] > 0)).cast("long"))
+    own = F.transform(F.filter(F.sequence(F.lit(0), n - 1), kept), lambda i: at(i)["line"])
+    return df.withColumn("own", F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", ""))
 
 
 def _links(units: DataFrame) -> DataFrame:
@@ -114,7 +138,8 @@ def reply_ordered(messages: DataFrame, conv_id: str = "conv_id", turn: str = "tu
     """Conversations without quotes, in reply order, a row per message.
 
     Returns ``conv_id, thread, turn, depth, reply_to, role, text, n_quoted,
-    n_linked``: ``text`` is the message's own text, ``reply_to`` the turn it
+    n_linked``: ``text`` is the message's own text, quotes of
+    what no earlier message holds included, ``reply_to`` the turn it
     answers (null if it quotes no earlier message), ``n_quoted`` its quoted
     passages and ``n_linked`` those of its quoted passages and lines that an
     earlier message said.  Sort by ``conv_id, thread, turn`` to read.  Null and
@@ -134,7 +159,11 @@ def reply_ordered(messages: DataFrame, conv_id: str = "conv_id", turn: str = "tu
     replies = weights.groupBy("conv_id", "turn").agg(best["source"].alias("reply_to"), F.sum("n").alias("n_linked"))
     replies = checkpointed(replies)
     found = _threads(replies).join(replies.select("conv_id", "turn", "n_linked"), ["conv_id", "turn"])
-    return parsed.join(found, ["conv_id", "turn"], "left").select(
+    # Quoted text goes if an earlier message said it, or quoted it and so holds it where nobody said it.
+    seen = units.groupBy("conv_id", "h").agg(F.min("turn").alias("seen"))
+    known = units.where("level > 0").join(seen, ["conv_id", "h"]).where("seen < turn").groupBy("conv_id", "turn").agg(F.collect_set("h").alias("known"))
+    found = checkpointed(known.join(found, ["conv_id", "turn"], "full"))
+    return _with_own(_parsed(rows.join(found, ["conv_id", "turn"], "left"))).select(
         "conv_id",
         F.coalesce("thread", "turn").alias("thread"),
         "turn",
