@@ -315,3 +315,49 @@ def test_pipeline_against_its_stages(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == ids
     assert pieces.where("offset + length > 2048").count() == 0
+
+
+def test_pipeline_stages_are_those_of_brute_force(spark):
+    import corpus_pipeline
+
+    sf_dir = SF
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    marked = {r.doc_id: r for r in labels.collect()}
+    rows = [r.asDict() for r in docs.collect()]
+    toxic = [r for r in rows if r["doc_id"] in marked and marked[r["doc_id"]].toxic][:5]
+    poor = [r for r in rows if r["doc_id"] in marked and not marked[r["doc_id"]].quality][:5]
+    near = [r for r in rows if len((r["text"] or "").split()) > 60][:10]
+    planted = [dict(r, doc_id=10**6 + i) for i, r in enumerate(toxic + poor)] + [dict(r, doc_id=2 * 10**6 + i, text=r["text"] + " planted") for i, r in enumerate(near)]
+    docs = spark.createDataFrame(rows + planted, docs.schema).cache()
+    stages = dict(corpus_pipeline.STAGES)
+
+    def pairs(frame):
+        return sorted((r.doc_id, r.text or "") for r in frame.select("doc_id", "text").collect())
+
+    clean = stages["toxicity"](spark, docs, sf_dir).cache()
+    model = toxicity.train(docs, labels)
+    assert pairs(clean) == [x for x in pairs(docs) if model.scores([x[1]])[0] < 0.5]
+    assert 0 < clean.count() < docs.count()
+
+    good = stages["quality"](spark, clean, sf_dir).cache()
+    model = quality.train(clean, labels)
+    assert pairs(good) == [x for x in pairs(clean) if model.scores(quality.features([x[1]]))[0] >= quality.THRESHOLD]
+    assert 0 < good.count() < clean.count()
+
+    single = stages["near_duplicates"](spark, good, sf_dir).cache()
+    sets = {i: shingle_set(t, 5) for i, t in pairs(good)}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if b < a and min(len(sets[a]), len(sets[b])) * 100 >= 80 * max(1, len(sets[a]), len(sets[b])) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    assert pairs(single) == [x for x in pairs(good) if root[x[0]] == x[0]]
+    assert 0 < single.count() < good.count()
+
+    mixed = stages["mixing"](spark, single, sf_dir)
+    taken = defaultdict(int)
+    for r in mixed.select("source", "text").collect():
+        taken[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    planned = {r.source: r.taken for r in mixing.mix(single).join(single.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    assert {s: n for s, n in taken.items() if n} == {s: n for s, n in planned.items() if n}
