@@ -81,10 +81,11 @@ def test_attempt_drain_and_queue_match_a_scan(spark, seed):
 def test_nearest_in_memory_matches_a_sort():
     rng = random.Random(9)
     for _ in range(60):
-        queue, rows = mm.Queue(), []
-        for k in range(rng.randint(0, 120)):
-            rows.append((25 * rng.randint(0, 80), f"p{k}"))
-            queue.add(rows[-1][1], rows[-1][0], NOW)
+        rows = [(25 * rng.randint(0, 80), f"p{k}") for k in range(rng.randint(0, 120))]
+        queue = mm.Queue((p, r, NOW) for r, p in rows)
+        for r, p in rng.sample(rows, len(rows) // 3):
+            queue.remove(p)
+            rows.remove((r, p))
         low = rng.randint(0, 2000)
         high, k = low + rng.randint(0, 800), rng.randint(1, 20)
         middle = (low + high) / 2
@@ -93,11 +94,20 @@ def test_nearest_in_memory_matches_a_sort():
 
 
 def test_queue_requeues_and_removes():
-    q = mm.Queue()
-    q.add("a", 1000, NOW)
-    q.add("a", 1300, NOW)
+    q = mm.Queue([("a", 1000, NOW), ("b", None, NOW), ("a", 1300, NOW)])
     q.remove("nobody")
-    assert len(q) == 1 and q.rating["a"] == 1300
+    q.remove("b")
+    q.remove("b")
+    assert len(q) == 1 and q.rating["a"] == 1300 and q.nearest(0, 3000, 5) == ["a"]
+
+
+def test_a_long_queue_of_one_rating_drains_in_near_linear_time():
+    import time
+
+    began = time.perf_counter()
+    queue = mm.Queue((f"p{k:06d}", 1200, NOW - dt.timedelta(seconds=k % 100)) for k in range(60_000))
+    assert sum(1 for _ in queue.parties(4, NOW, ExpandingWindow())) == 15_000
+    assert time.perf_counter() - began < 20
 
 
 def test_fifo_and_quality(spark, rows):
@@ -156,20 +166,27 @@ def test_skill_beats_fifo(spark):
     assert fifo[1] == 100 and skill[1] > 60 and skill[0] < fifo[0] / 5
 
 
-def test_streaming_matchmaker(spark, tmp_path):
+@pytest.fixture
+def lobby(spark, tmp_path):
+    """Put rows of (player, rating, seconds waited) into a stream of queues, drain it, and see who was seated."""
     from tidewell.streaming.matchmaking import parties
 
-    def put(k, rows):
+    def step(k, rows):
         lines = [("g", "r", p, rating, NOW - dt.timedelta(seconds=w), NOW + dt.timedelta(seconds=k)) for p, rating, w in rows]
         spark.createDataFrame(lines, SCHEMA + ", now timestamp_ntz").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-
-    def drain():
         stream = spark.readStream.schema(SCHEMA.replace("timestamp_ntz", "timestamp") + ", now timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
         out = parties(stream, 2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-        out.awaitTermination()
+        if not out.awaitTermination(90):
+            out.stop()
+            pytest.fail("the stream did not end")
         return {r.player_id for r in spark.read.schema("player_id string").parquet(str(tmp_path / "out")).collect()}
 
-    put(0, [("a", 1000, 3), ("far", 3000, 1)])
-    assert drain() == set()
-    put(1, [("b", 1010, 0)])
-    assert drain() == {"a", "b"}
+    return step
+
+
+def test_streaming_matchmaker(lobby):
+    assert lobby(0, [("a", 1000, 3), ("far", 3000, 1)]) == set()
+    assert lobby(1, [("b", 1010, 0), ("slow", 5000, 0)]) == {"a", "b"}
+    # Two hours on, those who still wait are forgotten; a partner comes too late for them.
+    assert lobby(7200, [("late", 3000, -7200), ("c", 990, -7200)]) == {"a", "b"}
+    assert lobby(7201, [("d", 1000, -7201)]) == {"a", "b", "c", "d"}

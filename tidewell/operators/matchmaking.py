@@ -7,8 +7,11 @@ every form of the same question has one answer.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from datetime import datetime
+from heapq import merge
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -110,66 +113,89 @@ def party_quality(members: DataFrame) -> DataFrame:
 
 
 class Queue:
-    """One queue in memory: players by rating, and by time of arrival."""
+    """One queue in memory: players by rating and by time of arrival, sorted once.
 
-    def __init__(self):
-        self.by_rating: list[tuple[int, str]] = []
-        self.by_time: list[tuple[datetime, str]] = []
+    A player who leaves is skipped from then on by links that shorten as they are
+    followed, so leaving and finding stay near a logarithm, and a queue is drained
+    in about the time of its sort.
+    """
+
+    def __init__(self, players: Iterable[tuple[str, float | None, datetime]] = ()):
+        """``players`` are (id, rating, time); of rows with one id the last counts."""
         self.rating: dict[str, int] = {}
         self.since: dict[str, datetime] = {}
-
-    def add(self, player_id: str, rating: float | None, enqueued_at: datetime) -> None:
-        """Queue a player; one that is queued already gets the new rating and time."""
-        self.remove(player_id)
-        rating = DEFAULT_RATING if rating is None or rating != rating else int(rating)
-        self.rating[player_id], self.since[player_id] = rating, enqueued_at
-        insort(self.by_rating, (rating, player_id))
-        insort(self.by_time, (enqueued_at, player_id))
+        for player, rating, since in players:
+            self.rating[player] = DEFAULT_RATING if rating is None or rating != rating else int(rating)
+            self.since[player] = since
+        self.by_rating = sorted((r, p) for p, r in self.rating.items())
+        self.place = {p: k for k, (_, p) in enumerate(self.by_rating)}
+        self.by_time = sorted((t, p) for p, t in self.since.items())
+        self.head = 0
+        # Places from 1 on; 0 and n + 1 are the ends, which never leave.
+        self.up = list(range(len(self.by_rating) + 2))
+        self.down = list(self.up)
 
     def remove(self, player_id: str) -> None:
-        if player_id in self.rating:
-            self.by_rating.pop(bisect_left(self.by_rating, (self.rating.pop(player_id), player_id)))
-            self.by_time.pop(bisect_left(self.by_time, (self.since.pop(player_id), player_id)))
+        if self.rating.pop(player_id, None) is not None:
+            at = self.place[player_id] + 1
+            self.up[at], self.down[at] = at + 1, at - 1
+            del self.since[player_id]
 
     def __len__(self) -> int:
-        return len(self.by_rating)
+        return len(self.rating)
+
+    @staticmethod
+    def _follow(links: list[int], at: int) -> int:
+        while links[at] != at:
+            links[at] = at = links[links[at]]
+        return at
+
+    def _upwards(self, at: int, high: float) -> Iterator[tuple[int, str]]:
+        """Waiting players from a place on, up to a rating."""
+        while (at := self._follow(self.up, at)) <= len(self.by_rating) and self.by_rating[at - 1][0] <= high:
+            yield self.by_rating[at - 1]
+            at += 1
+
+    def _downwards(self, at: int, low: float) -> Iterator[tuple[int, str]]:
+        """Waiting players below a place, down to a rating; those of one rating by id."""
+        while (at := self._follow(self.down, at - 1)) >= 1 and (rating := self.by_rating[at - 1][0]) >= low:
+            at = bisect_left(self.by_rating, (rating,)) + 1
+            yield from self._upwards(at, rating)
 
     def nearest(self, low: int, high: int, k: int) -> list[str]:
-        """The k players nearest to the middle of a band, by a search outwards from it."""
-        middle, rows = (low + high) / 2, self.by_rating
-        first, end = bisect_left(rows, (low,)), bisect_left(rows, (high + 1,))
-        right = min(max(bisect_left(rows, (middle,)), first), end)
-        left, reach = right - 1, 0.0
-        for _ in range(k):
-            d_left = middle - rows[left][0] if left >= first else None
-            d_right = rows[right][0] - middle if right < end else None
-            if d_left is None and d_right is None:
-                break
-            if d_right is None or (d_left is not None and d_left <= d_right):
-                reach, left = max(reach, d_left), left - 1
-            else:
-                reach, right = max(reach, d_right), right + 1
-        # Everybody at the reach takes part in the tie-break.
-        a, b = max(first, bisect_left(rows, (middle - reach,))), min(end, bisect_right(rows, (middle + reach, "\U0010ffff")))
-        return [p for r, p in sorted(rows[a:b], key=lambda x: (abs(x[0] - middle), x[0], x[1]))[:k]]
+        """The k players nearest to the middle of a band, bounds inclusive."""
+        middle = (low + high) / 2
+        at = bisect_left(self.by_rating, (middle,)) + 1
+        both = merge(self._downwards(at, low), self._upwards(at, high), key=lambda x: (abs(x[0] - middle), *x))
+        return [p for _, p in islice(both, k)]
 
     def form(self, size: int, now: datetime, window: ExpandingWindow) -> tuple[list[str], float] | None:
-        """Take a party around the longest-waiting player, or nobody."""
-        if not self.by_time:
+        """The party around the longest-waiting player, or nothing."""
+        while self.head < len(self.by_time) and self.by_time[self.head][1] not in self.rating:
+            self.head += 1
+        if self.head == len(self.by_time):
             return None
-        since, anchor = self.by_time[0]
+        since, anchor = self.by_time[self.head]
         waited = max(0.0, (now - since).total_seconds())
         width = window.width(waited)
         near = self.nearest(self.rating[anchor] - width, self.rating[anchor] + width, size * CANDIDATES)
         members = [anchor, *[p for p in near if p != anchor]][:size]
         return (members, waited) if len(members) == size else None
 
+    def parties(self, size: int, now: datetime, window: ExpandingWindow) -> Iterator[list[tuple[int, str, int, int]]]:
+        """Take parties until the head cannot be matched: rows of (seat, player, rating, seconds that the anchor waited)."""
+        while found := self.form(size, now, window):
+            members, waited = found
+            yield [(seat, p, self.rating[p], int(waited)) for seat, p in enumerate(members, 1)]
+            for p in members:
+                self.remove(p)
+
 
 def drain(players: DataFrame, size: int, now: datetime, window: ExpandingWindow | None = None) -> DataFrame:
     """All parties that repeated attempts form, until a queue's head cannot be matched.
 
     Each attempt depends on the one before, so a queue is one sequential loop;
-    queues run side by side.  An attempt costs a logarithmic search and the party.
+    queues run side by side, each in one task that holds its waiting players.
     Returns ``game_id, region, party, seat, player_id, rating, anchor_wait_seconds``.
     """
     if size < 1:
@@ -177,16 +203,9 @@ def drain(players: DataFrame, size: int, now: datetime, window: ExpandingWindow
     rule = window or ExpandingWindow()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        queue, out, party = Queue(), [], 0
-        for p, r, t in zip(pdf["player_id"], pdf["rating"], pdf["enqueued_at"], strict=True):
-            queue.add(p, r, t.to_pydatetime())
-        game, region = pdf["game_id"].iloc[0], pdf["region"].iloc[0]
-        while found := queue.form(size, now, rule):
-            members, waited = found
-            out += [(game, region, party, seat, p, queue.rating[p], int(waited)) for seat, p in enumerate(members, 1)]
-            for p in members:
-                queue.remove(p)
-            party += 1
+        queue = Queue((p, r, t.to_pydatetime()) for p, r, t in zip(pdf["player_id"], pdf["rating"], pdf["enqueued_at"], strict=True))
+        key = pdf["game_id"].iloc[0], pdf["region"].iloc[0]
+        out = [(*key, party, *row) for party, rows in enumerate(queue.parties(size, now, rule)) for row in rows]
         return pd.DataFrame(out, columns=names)
 
     schema = "game_id string, region string, party long, seat int, player_id string, rating int, anchor_wait_seconds long"

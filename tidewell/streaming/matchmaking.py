@@ -3,67 +3,57 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewell.functions.scalars import ExpandingWindow
 from tidewell.operators.matchmaking import QUEUE, Queue
 
 PARTIES = "game_id string, region string, seat int, player_id string, rating int, anchor_wait_seconds long, formed_at timestamp"
+WAITING = "player_id array<string>, rating array<int>, enqueued_us array<bigint>"
 #: How long a player waits at most before the state forgets them.
-WAIT_LIMIT_MS = 3_600_000
+WAIT_LIMIT = timedelta(hours=1)
 
 
-class Matchmaker(StatefulProcessor):
-    """Keeps the waiting players of one queue; each batch adds players and forms what parties it can.
-
-    The clock is the latest ``now`` of the rows, so a replay of the same rows
-    forms the same parties.
-    """
-
-    def __init__(self, size: int, window: ExpandingWindow):
-        self.size, self.window = size, window
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getMapState("waiting", "player_id string", "rating int, enqueued_at timestamp", ttlDurationMs=WAIT_LIMIT_MS)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        queue, now = Queue(), None
-        for (player,), (rating, since) in self.waiting.iterator():
-            queue.add(player, rating, _utc(since))
-        for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                queue.add(r.player_id, r.rating, _utc(r.enqueued_at))
-                self.waiting.updateValue((r.player_id,), (queue.rating[r.player_id], queue.since[r.player_id]))
-                now = max(now, _utc(r.now)) if now else _utc(r.now)
-        out = []
-        while found := queue.form(self.size, now, self.window):
-            members, waited = found
-            out += [(*key, seat, p, queue.rating[p], int(waited), now) for seat, p in enumerate(members, 1)]
-            for p in members:
-                queue.remove(p)
-                self.waiting.removeKey((p,))
-        yield pd.DataFrame(out, columns=["game_id", "region", "seat", "player_id", "rating", "anchor_wait_seconds", "formed_at"])
-
-    def close(self) -> None:
-        pass
-
-
-def _utc(value) -> datetime:
-    value = value.to_pydatetime() if isinstance(value, pd.Timestamp) else value
-    return value.replace(tzinfo=UTC) if value.tzinfo is None else value.astimezone(UTC)
-
-
-def parties(players: DataFrame, size: int, window: ExpandingWindow | None = None) -> DataFrame:
+def parties(players: DataFrame, size: int, window: ExpandingWindow | None = None, wait_limit: timedelta = WAIT_LIMIT) -> DataFrame:
     """Parties from a stream of ``game_id, region, player_id, rating, enqueued_at, now``.
 
-    Needs the RocksDB state store, as all keyed map state does.
+    Each batch adds its players to their queue's state and forms what parties it
+    can.  The clock is the latest ``now`` of the rows, so a replay of the same rows
+    forms the same parties; players who then have waited beyond ``wait_limit`` are
+    forgotten.  A queue's state is its waiting players.
     """
     if size < 1:
         raise ValueError("a party has at least one player")
-    rows = players.select(*QUEUE, "player_id", F.col("rating").cast("double").alias("rating"), "enqueued_at", "now")
-    return rows.groupBy(*QUEUE).transformWithStateInPandas(statefulProcessor=Matchmaker(size, window or ExpandingWindow()), outputStructType=PARTIES, outputMode="Append", timeMode="ProcessingTime")
+    rule = window or ExpandingWindow()
+    names = [f.split()[0] for f in PARTIES.split(", ")]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames), ignore_index=True)
+        now = _from_micros(int(rows["now_us"].max()))
+        waiting = list(zip(*state.get, strict=True)) if state.exists else []
+        waiting += zip(rows["player_id"], rows["rating"], rows["enqueued_at_us"], strict=True)
+        queue = Queue((p, r, _from_micros(int(t))) for p, r, t in waiting if now - _from_micros(int(t)) <= wait_limit)
+        out = [(*key, *row, now) for party in queue.parties(size, now, rule) for row in party]
+        left = sorted(queue.rating)
+        if left:
+            state.update((left, [queue.rating[p] for p in left], [_micros(queue.since[p]) for p in left]))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=names)
+
+    micros = {f"{c}_us": F.unix_micros(F.col(c).cast("timestamp")) for c in ("enqueued_at", "now")}
+    rows = players.withColumns(micros).select(*QUEUE, "player_id", F.col("rating").cast("double").alias("rating"), *micros)
+    return rows.groupBy(*QUEUE).applyInPandasWithState(step, PARTIES, WAITING, "append", GroupStateTimeout.NoTimeout)
+
+
+def _from_micros(us: int) -> datetime:
+    return datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=us)
+
+
+def _micros(at: datetime) -> int:
+    return (at - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1)
