@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import fingerprint, htmltext, jaccard, mixing, packing, quality, tokens, topk, toxicity
+from tidewell.llm import fingerprint, jaccard, mixing, packing, quality, tokens, topk, toxicity
 from tidewell.llm.chat import reply_ordered
 
 SF = "/root/testdata/sf0.01"
@@ -220,58 +220,6 @@ def test_fingerprints_follow_the_contract(spark, awkward):
     assert fingerprint.fingerprints(awkward).count() == awkward.count()
 
 
-def test_main_text_leaves_out_the_frame(spark):
-    page = "<html><head><style>p{{}}</style></head><body><nav><a href='/'>Home</a></nav><article><h1>Title {0}</h1><p>First  text {0} &amp; more words here.</p><p>Second text {0} goes on at length.</p></article><footer><p>All rights reserved</p></footer><script>x()</script></body></html>"
-    rows = [(i, f"https://h.example/{i}", page.format(i)) for i in range(6)] + [(6, None, None), (7, "https://h.example/7", "")]
-    got = {r.page_id: r for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[2].text == "Title 2\nFirst text 2 & more words here.\nSecond text 2 goes on at length."
-    assert got[2].n_chars == len(got[2].text)
-    assert (got[6].text, got[6].n_chars, got[7].text) == ("", 0, "")
-
-
-def essay(rnd, n=40):
-    return " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
-
-
-def test_template_decides_on_article_pages():
-    rnd = random.Random(5)
-    texts = [[essay(rnd, 6), essay(rnd), essay(rnd)] for _ in range(6)]
-    ask = "Sign up to the daily letter for more of the best"
-    page = "<html><body><nav><a href='/'>Home</a></nav><article><h1>{}</h1><p>{}</p><p>" + ask + "</p><p>{}</p></article><footer>Rights</footer></body></html>"
-    assert htmltext.extract([page.format(*t) for t in texts]) == ["\n".join(t) for t in texts]
-    # The article is the same on every page; the text that varies stands elsewhere.
-    page = "<html><body><article><p>A fixed teaser of some words</p></article><div class='q'><h1>{}</h1><p>{}</p><p>{}</p></div></body></html>"
-    assert htmltext.extract([page.format(*t) for t in texts]) == ["\n".join(t) for t in texts]
-
-
-def test_main_slot_without_article_or_telling_names():
-    rnd = random.Random(6)
-    texts = [[essay(rnd, 6), essay(rnd), essay(rnd)] for _ in range(6)]
-    page = "<html><body><div class='a'><p>{3}</p></div><form id='f'><div class='b'><h1>{0}</h1><p>{1}</p><p>{2}</p></div></form><div class='c'>{4}</div></body></html>"
-    assert htmltext.extract([page.format(*t, essay(rnd, 4), essay(rnd, 5)) for t in texts]) == ["\n".join(t) for t in texts]
-
-
-@pytest.mark.parametrize("each", [3, 12])
-def test_every_template_of_a_host_is_found(each):
-    rnd = random.Random(7)
-    pages, want = [], []
-    for k in range(3 * each):
-        a, b = essay(rnd), essay(rnd)
-        kind = "xyz"[k % 3]
-        own = {"x": "Prices are shown with all taxes", "y": "Replies close after thirty quiet days", "z": "Printed editions ship within one week"}[kind]
-        pages.append(f"<html><body><div class='{kind}1'>{own}</div><div class='{kind}2'><h2>{a}</h2><p>{own}</p><p>{b}</p></div><div class='{kind}3'><p>End of page {kind}</p></div></body></html>")
-        want.append(f"{a}\n{b}")
-    assert htmltext.extract(pages) == want
-
-
-def test_copies_of_a_page_are_no_template():
-    rnd = random.Random(8)
-    texts = [essay(rnd) for _ in range(9)]
-    page = "<html><body><nav>{}</nav><article><p>{}</p><p>{}</p><p>{}</p></article></body></html>"
-    rows = [texts[:3]] * 3 + [texts[3:6], texts[6:9]] + [[essay(rnd) for _ in range(3)] for _ in range(4)]
-    assert htmltext.extract([page.format(essay(rnd, 3), *t) for t in rows]) == ["\n".join(t) for t in rows]
-
-
 def test_quoted_messages_are_linked_and_cut(spark):
     rows = [
         (1, 0, "user", "How do I sort a list in place?"),

@@ -1,413 +1,364 @@
 """Main-text extraction by template deduction from equivalence classes of tokens.
 
-Pages of one host are generated from a few templates.  Pages whose markup is mostly
-the same form a cluster, and every cluster has its own template.  A token is a tag
-with its place in the document tree, a word with the place of its block, or a whole
-block; tokens stand in document order.  Tags are grouped by occurrence vector (how
-often each page has them).  The class that most pages have once is the frame; other
-classes join it where each of their tags keeps to one gap.  Words that share a place
-and a vector on at least half of a cluster are template if they keep one order, and
-so is a block that repeats between differing neighbours.
-
-What is left varies from page to page.  The main slot is found by going down the
-template's elements as long as one of them holds nearly all that varies; it may be
-any element, and an article that says the same on every page is none.  Names
-(navigation, adverts, comments and similar) only lower the weight of an element on the way,
-and inside the main slot they tell insets from text.
-
-Pages without a partner in their host, and clusters in which nothing varies, give no
-template; there alone the elements' names decide (article, then main, then all that
-is not named as frame).
-
-Pages are handled in groups of one host with a bounded number of pages, so a host
-that holds a third of all pages is spread over many tasks.
+The pages of a host come from a few templates.  Tokens are elements with their
+place in the document tree, and blocks of text with theirs; a token's occurrence
+vector says how often each page of the host has it.
+
+1. Every page is read once, and its tokens are counted over *all* pages of the host:
+   pages, occurrences, and a sum of hashes of (page, count) that stands for the
+   occurrence vector.  Exact copies of a page count once.
+2. Tokens with one vector form an equivalence class.  A class is valid if it is
+   large (an element counts twice, for its two tags) and frequent.  A token's place
+   is part of it, so the tokens of a class nest alike on all pages, and a class lies
+   in the innermost element of another that holds its place.  Elements that stand
+   once on a page, in a valid class, are the template's elements; blocks of text in
+   a valid class, or directly nested into one, are its text if they stand on at
+   least half of the pages that have their place.  What a template element holds
+   beside that is its slot, and the mean number of words in it is the slot's weight.
+3. Every page is read again beside the template of its host.  The main slot is found
+   by going down from the root into the template element that holds nearly all of
+   what slots hold, as far as there is one; the tag name only ends the way, at an
+   article or main element.  The slot's blocks without the template's text are the
+   main text.
+
+Names of elements (``nav``, ``comments``, ...) are a prior: they lower an element's
+weight on the way, and an element named so inside the slot is an inset where it is an
+element of the template, or holds less than half of the slot's words.  A name never
+drops the greater part of a text by itself.  Pages that meet no template (a host with
+one or two pages) have only their elements: article, else main, else all, without
+such insets.
+
+No step gathers the pages of a host.  Counts are combined before each shuffle; a
+host's template is bounded by the size of its pages, not by their number.
 """
 
 from __future__ import annotations
 
-import html
-import re
-from bisect import bisect
-from collections import Counter, defaultdict
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import in_small_batches
-
-#: Pages of a host that are compared with each other.
-GROUP_PAGES = 128
-#: A class of words needs so many tokens, and pages that share them: a number and a share of the cluster.
-LARGE, FREQUENT, SHARE = 3, 3, 0.5
-#: Pages with at least this Jaccard index of their tags have one template.
-ALIKE = 0.5
-#: An element is gone down into if it holds this share of what varies; text in elements named as frame counts less.
-DOMINANT, NAMED = 0.8, 0.25
-#: An element of the template stands once on a page; so many pages in proportion may have it more often.
-STRAY = 0.1
-#: With more hosts than this the counts are joined by a shuffle instead of being broadcast.
-BROADCAST_HOSTS = 100_000
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
-_NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea iframe svg math object canvas video audio select title".split())
-_BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4"
-    " h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
-)
-#: Elements that are frame by their own name; header only outside an article.
-_FRAME_TAGS = frozenset("head nav footer aside form menu dialog button search fieldset".split())
-_FRAME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-#: Parts of class names and ids that mark frame.
-_FRAME_NAMES = frozenset(
-    "ad ads advert advertisement adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices sidebar menu nav navbar"
-    " navigation breadcrumb breadcrumbs comment comments disqus respond replies footer header masthead related recommended recommendations share sharing social"
-    " newsletter subscribe subscription signup login popup modal overlay widget toolbar pagination pager skip".split()
-)
-#: Elements that can hold a whole main text.
-_HOLDS = frozenset("html body div article main section form center dialog aside nav td tr tbody table fieldset header footer".split())
-_ENDS_P = _BLOCK - {"html", "head", "body"}
-_ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-
-
-@dataclass
-class Block:
-    """A run of text between block boundaries."""
-
-    within: tuple[str, ...]  # paths of the enclosing elements, outermost first
-    named: tuple[bool, ...]  # which of them are frame by their name
-    hidden: bool
-    main: int  # 2 in an article, 1 in a main element, 0 elsewhere
-    parts: list[str] = field(default_factory=list)
-
-    @property
-    def path(self) -> str:
-        return self.within[-1] if self.within else ""
-
-    def text(self) -> str:
-        raw = "".join(self.parts)
-        return " ".join((html.unescape(raw) if "&" in raw else raw).split())
-
-
-def _is_frame(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, str]:
-    """Whether an element is frame by its name, whether it is hidden, and its class for the path."""
-    named = tag in _FRAME_TAGS or (tag == "header" and not in_article)
-    if not attrs.strip():
-        return named, False, ""
-    found = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTR.findall(attrs)}
-    label = found.get("class", "")
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
-        return named, True, label
-    if named or found.get("role", "").lower() in _FRAME_ROLES:
-        return True, False, label
-    if tag in ("article", "main", "body", "html"):
-        names = set(map(str.lower, _NAME_PART.findall(label))) if tag == "article" else set()
-        return bool(names & {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "related", "sponsored"}), False, label
-    names = set(map(str.lower, _NAME_PART.findall(f"{label} {found.get('id', '')}")))
-    return bool(names & _FRAME_NAMES), False, label
-
-
-def parse(page: str | None) -> list[tuple[str, str] | Block]:
-    """A page's markup tokens (tag, path) and its blocks, in document order."""
-    tokens: list[tuple[str, str] | Block] = []
-    stack: list[tuple[str, str, tuple[str, ...], tuple[bool, ...], bool, int]] = [("", "", (), (), False, 0)]  # tag, path, within, named, hidden, main
-    block: Block | None = None
-    page = page or ""
-    at, end = 0, len(page)
-
-    def text(piece: str) -> None:
-        nonlocal block
-        if block is None:
-            if piece.isspace():
-                return
-            tokens.append(block := Block(*stack[-1][2:]))
-        block.parts.append(piece)
-
-    def close(until: int) -> None:
-        while len(stack) > until:
-            tag, path, *_ = stack.pop()
-            tokens.append((f"/{tag}", path))
-
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            text(page[at:])
-            break
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                text(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag in _BLOCK:
-                block = None
-                where = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-                if where:
-                    close(where)
-            elif len(stack) > 1 and stack[-1][0] == tag:
-                close(len(stack) - 1)
-            continue
-        if tag in _RAW:
-            tokens.append((tag, stack[-1][1]))
-            if not m[3].endswith("/"):
-                over = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = over.end() if over else (end if tag in ("script", "style", "title", "textarea") else at)
-            continue
-        if tag == "br":
-            if block is not None:
-                block.parts.append(" ")
-            continue
-        if tag in _VOID:
-            if tag == "hr":
-                block = None
-            continue
-        in_article = stack[-1][5] == 2
-        named, hide, label = _is_frame(tag, m[3], in_article)
-        if tag not in _BLOCK and not named and not hide:
-            continue
-        if tag in _BLOCK:
-            block = None
-            if tag in _ENDS_P and (p := next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)):
-                close(p)
-            if tag in _ENDS_SAME and stack[-1][0] in _ENDS_SAME[tag]:
-                close(len(stack) - 1)
+from tidewell.llm.common import in_small_batches, stored
+from tidewell.llm.markup import HIDDEN, HOLDS, NAMED, STOPS, TITLE, Page, read
+
+#: Text of a template stands on so many pages, and on this share of those that have its place.
+FREQUENT, SHARE = 3, 0.5
+#: A valid class has so many tokens.
+LARGE = 3
+#: Elements of a template stand on this share of a host's pages, and on two at least.
+ELEMENT_SHARE = 0.001
+#: An element is gone down into if it holds this share of what slots hold; named ones count less, and are left sooner.
+DOMINANT, NAMED_WEIGHT, NAMED_DOMINANT = 0.8, 0.25, 0.5
+#: Templates of all hosts together go to every task up to this many tokens; beyond, they meet the pages in a shuffle.
+BROADCAST_TOKENS = 1_000_000
+#: Pages of a host in one group of that shuffle.
+GROUP_PAGES = 4096
+#: Repeated contents that are told to every task; beyond, they meet the pages in a shuffle.
+BROADCAST_COPIES = 200_000
+
+_COUNTS = "host long, path long, seg long, n long, once long, words long, a long, b long, parent long, flags int"
+_TEMPLATE = "host long, groups int, path array<long>, weight array<double>, direct array<double>, element array<boolean>, seg array<long>"
+_TEXTS = "page_id long, url string, text string, n_chars long"
+
+
+def _segment(path: int, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{path}\n{text}") >> 1 or 1
+
+
+def tokens(page: Page) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
+    """A page's tokens: places with [occurrences, words below, parent's place, flags], blocks with [occurrences, words, place]."""
+    words = [0] * len(page.parent)
+    segments: dict[int, list[int]] = {}
+    for at, text in page.blocks:
+        n = text.count(" ") + 1
+        words[at] += n
+        key = _segment(page.path[at], text)
+        if key in segments:
+            segments[key][0] += 1
+            segments[key][1] += n
         else:
-            block = None
-        _, path, within, names, hidden, main = stack[-1]
-        path = f"{path}/{tag}.{label}" if label else f"{path}/{tag}"
-        main = 2 if tag == "article" else max(main, 1) if tag == "main" else main
-        stack.append((tag, path, (*within, path), (*names, named), hidden or hide, main))
-        tokens.append((tag, path))
-    close(1)
-    return tokens
-
-
-@dataclass
-class Page:
-    """A parsed page: where its tags first stand, how often, and its visible blocks with their words."""
-
-    tags: dict[tuple[str, str], int]
-    counts: Counter
-    blocks: list[tuple[Block, str, list[str]]]
-
-
-def read(page: str | None) -> Page:
-    tags: dict[tuple[str, str], int] = {}
-    counts: Counter = Counter()
-    blocks = []
-    for at, t in enumerate(parse(page)):
-        if isinstance(t, Block):
-            if not t.hidden and (text := t.text()):
-                blocks.append((t, text, text.split()))
+            segments[key] = [1, n, page.path[at]]
+    for at in range(len(words) - 1, 0, -1):
+        words[page.parent[at]] += words[at]
+    elements: dict[int, list[int]] = {}
+    for at, path in enumerate(page.path):
+        if page.flags[at] & HIDDEN:
+            continue
+        if path in elements:
+            elements[path][0] += 1
+            elements[path][1] += words[at]
         else:
-            tags.setdefault(t, at)
-            counts[t] += 1
-    return Page(tags, counts, blocks)
-
-
-def clusters(pages: list[Page]) -> list[list[int]]:
-    """Pages by template: each joins the first cluster whose first page has mostly the same tags."""
-    out: list[tuple[set, list[int]]] = []
-    for k, page in enumerate(pages):
-        own = set(page.tags)
-        for lead, members in out:
-            if len(own & lead) >= ALIKE * len(own | lead):
-                members.append(k)
+            elements[path] = [1, words[at], page.path[page.parent[at]] if at else 0, page.flags[at]]
+    return elements, segments
+
+
+def _mixed(page: int, n: int) -> int:
+    return xxhash.xxh3_64_intdigest(f"{page}*{n}")
+
+
+def _count(batches: Iterable[pa.RecordBatch]):
+    """Token counts of single pages, in the columns of their sums."""
+    for batch in batches:
+        out: list[tuple] = []
+        for host, key, content in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "html")), strict=True):
+            elements, segments = tokens(read(content))
+            vector = {}
+            for path, (n, words, parent, flags) in elements.items():
+                v = vector.get(n) or vector.setdefault(n, _mixed(key, n))
+                out.append((host, path, 0, 1, int(n == 1), words, v >> 34, v & 0x3FFFFFFF, parent, flags))
+            for seg, (n, words, path) in segments.items():
+                v = vector.get(n) or vector.setdefault(n, _mixed(key, n))
+                out.append((host, path, seg, 1, int(n == 1), words, v >> 34, v & 0x3FFFFFFF, 0, 0))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 10
+        types = [pa.int64()] * 9 + [pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, columns), types, strict=True)], names=[c.split()[0] for c in _COUNTS.split(", ")])
+
+
+def deduce(rows: pd.DataFrame) -> dict[str, object]:
+    """The template of one host from its frequent tokens, with the size of each token's class.
+
+    ``path`` are the places seen often, from the root down, with the slots' mean
+    ``weight`` of words below, ``direct`` words that are in no template element
+    further down, and whether a place is an ``element`` of the template; ``seg`` is
+    the template's text.
+    """
+    places = rows[rows["seg"] == 0]
+    info = {r.path: r for r in places.itertuples(index=False)}
+    valid = {p for p, r in info.items() if r.size >= LARGE and r.n >= 2}
+    element = {p for p in valid if info[p].once == info[p].n} | {p for p, r in info.items() if r.parent == 0}
+    fixed: dict[int, float] = defaultdict(float)
+    seg = []
+    for r in rows[rows["seg"] != 0].itertuples(index=False):
+        at = info.get(r.path)
+        if at is not None and r.n >= max(FREQUENT, SHARE * at.n) and (r.size >= LARGE or r.path in element or at.parent in valid or r.path in valid):
+            seg.append(r.seg)
+            fixed[r.path] += r.words
+    depth: dict[int, int] = {}
+    for p in info:
+        chain = []
+        while p in info and p not in depth:
+            chain.append(p)
+            p = info[p].parent
+        d = depth.get(p, -1)
+        for q in reversed(chain):
+            depth[q] = d = d + 1
+    order = sorted(info, key=lambda p: (-depth[p], p))
+    # Words that vary below a place: all, less the template's; named elements count less further up.
+    below: dict[int, float] = {}
+    less: dict[int, float] = defaultdict(float)
+    inner: dict[int, float] = defaultdict(float)
+    direct: dict[int, float] = {}
+    for p in order:
+        r = info[p]
+        below[p] = max(0.0, r.words - less[p] - fixed[p])
+        direct[p] = max(0.0, below[p] - inner[p])
+        counts = below[p] * (NAMED_WEIGHT if r.flags & NAMED else 1.0)
+        less[r.parent] += r.words - counts
+        inner[r.parent] += counts if p in element else inner[p] * (NAMED_WEIGHT if r.flags & NAMED else 1.0)
+    order.reverse()
+    return {
+        "path": order,
+        "weight": [below[p] / info[p].n for p in order],
+        "direct": [direct[p] / info[p].n for p in order],
+        "element": [p in element for p in order],
+        "seg": seg,
+    }
+
+
+class Template:
+    """A host's template as a page meets it."""
+
+    def __init__(self, path=(), weight=(), direct=(), element=(), seg=()):
+        self.known = set(path)
+        self.weight = {p: (w, d) for p, w, d, e in zip(path, weight, direct, element, strict=True) if e}
+        self.text = set(seg)
+
+    def slot(self, page: Page) -> int | None:
+        """The element of the page that is its main slot; None if the page meets no template."""
+        if len(self.weight) < 2:
+            return None
+        above = [0] * len(page.parent)
+        inside: dict[int, list[int]] = defaultdict(list)
+        for at in range(1, len(page.parent)):
+            up = page.parent[at]
+            above[at] = at if page.path[at] in self.weight and not page.flags[at] & HIDDEN else above[up]
+            if above[at] == at:
+                inside[above[up]].append(at)
+        at, met = 0, False
+        while True:
+            held = [(self.weight[page.path[k]][0] * (NAMED_WEIGHT if page.flags[k] & NAMED else 1), page.path[k], k) for k in inside[at]]
+            if not held:
                 break
-        else:
-            out.append((own, [k]))
-    return [members for _, members in out]
-
-
-def elements(pages: list[Page]) -> set[str]:
-    """Paths of the template's elements: the frame of a cluster, and what keeps to one gap of it."""
-    least = max(2, int(np.ceil(SHARE * len(pages))))
-    seen: dict[tuple[str, str], list[int]] = defaultdict(list)
-    for k, page in enumerate(pages):
-        for t, c in page.counts.items():
-            if c == 1:
-                seen[t].append(k)
-    several = Counter(t for page in pages for t, c in page.counts.items() if c > 1)
-    classes: dict[tuple[int, ...], list[tuple[str, str]]] = defaultdict(list)
-    for t, where in seen.items():
-        if len(where) >= least and several[t] <= STRAY * len(where):
-            classes[tuple(where)].append(t)
-    if not classes:
-        return set()
-    vector = max(classes, key=lambda v: (len(v), len(classes[v])))
-    frame: list[tuple[str, str]] = []
-    for t in sorted(classes[vector], key=pages[vector[0]].tags.__getitem__):
-        if not frame or all(pages[k].tags[frame[-1]] < pages[k].tags[t] for k in vector):
-            frame.append(t)
-    marks = {k: [pages[k].tags[t] for t in frame] for k in vector}
-    kept = set(frame)
-    for where, members in classes.items():
-        inside = [k for k in where if k in marks]
-        if where != vector:
-            kept.update(t for t in members if len({bisect(marks[k], pages[k].tags[t]) for k in inside}) == 1)
-    return {path for tag, path in kept if not tag.startswith("/") and (f"/{tag}", path) in kept}
-
-
-def repeated_words(pages: list[Page]) -> set[tuple[str, str]]:
-    """The template's words, each with its place."""
-    if len(pages) < FREQUENT:
-        return set()
-    seen: dict[tuple[str, str], dict[int, int]] = defaultdict(dict)
-    order: list[dict[tuple[str, str], int]] = []
-    for k, page in enumerate(pages):
-        found = [(w, b.path) for b, _, words in page.blocks for w in words]
-        order.append({t: i for i, t in reversed(list(enumerate(found)))})
-        for t, c in Counter(found).items():
-            seen[t][k] = c
-    least = max(FREQUENT, int(np.ceil(SHARE * len(pages))))
-    classes: dict[tuple, list[tuple[str, str]]] = defaultdict(list)
-    for t, where in seen.items():
-        if len(where) >= least:
-            classes[t[1], tuple(where.items())].append(t)
-    words: set[tuple[str, str]] = set()
-    for (_, vector), members in classes.items():
-        members.sort(key=order[vector[0][0]].__getitem__)
-        if len(members) >= LARGE and all(all(o[a] < o[b] for a, b in zip(members, members[1:], strict=False)) for o in (order[k] for k, _ in vector)):
-            words.update(members)
-    return words
-
-
-def repeated_blocks(chosen: list[list[tuple[Block, str, list[str]]]]) -> set[tuple[str, str]]:
-    """Blocks of the main slot that repeat between differing neighbours; copies of a page repeat them between the same."""
-    around: dict[tuple[str, str], tuple[set, set]] = defaultdict(lambda: (set(), set()))
-    for k, page in enumerate(chosen):
-        texts = [None, *(text for _, text, _ in page), None]
-        for i, (b, text, words) in enumerate(page):
-            if len(words) >= LARGE:
-                where, neighbours = around[text, b.path]
-                where.add(k)
-                neighbours.add((texts[i], texts[i + 2]))
-    return {t for t, (where, neighbours) in around.items() if min(len(where), len(neighbours)) >= FREQUENT}
-
-
-def main_slot(pages: list[Page], inside: set[str], words: set[tuple[str, str]]) -> str | None:
-    """The path of the element that holds what varies; None if nothing does."""
-    held: Counter = Counter()
-    below: dict[str, Counter] = defaultdict(Counter)
-    frame: set[str] = set()
-    for page in pages:
-        for b, _, found in page.blocks:
-            weight = float(sum((w, b.path) not in words for w in found))
-            if not weight:
-                continue
-            lower = None
-            for path, named in zip(reversed(b.within), reversed(b.named), strict=True):
-                if path in inside:
-                    held[path] += weight
-                    if lower:
-                        below[path][lower] += weight
-                    lower = path
-                if named:
-                    weight *= NAMED
-                    frame.add(path)
-            held[""] += weight
-            if lower:
-                below[""][lower] += weight
-    if not held:
-        return None
-    at = ""
-    while below[at]:
-        path, weight = max(below[at].items(), key=lambda x: (x[1], x[0]))
-        tag = path.rsplit("/", 1)[-1].split(".", 1)[0]
-        # Left where it is, an element named as frame would be taken for an inset.
-        if tag not in _HOLDS or weight < (0.5 if path in frame else DOMINANT) * held[at]:
-            break
-        at = path
-        if tag in ("article", "main"):
-            break
-    return at
-
-
-def by_names(page: Page) -> list[tuple[Block, str, list[str]]]:
-    """The main blocks of a page that has no template."""
-    live = [x for x in page.blocks if not any(x[0].named)]
-    top = max((b.main for b, _, _ in live), default=0)
-    return [x for x in live if x[0].main == top]
-
-
-def in_slot(page: Page, slot: str) -> list[tuple[Block, str, list[str]]]:
-    """The blocks of a slot without its insets; a heading of the first level may stand outside."""
-    if slot and not any(slot in b.within for b, _, _ in page.blocks):
-        return by_names(page)
+            best, path, to = max(held)
+            least = NAMED_DOMINANT if page.flags[to] & NAMED else DOMINANT
+            if not page.flags[to] & HOLDS or best <= 0 or best < least * (sum(h[0] for h in held) + self.weight[page.path[at]][1]):
+                break
+            at, met = to, True
+            if page.flags[at] & STOPS:
+                break
+        return at if met or self.text else None
+
+
+def extract(page: Page, template: Template | None = None) -> list[str]:
+    """The blocks of a page's main text."""
+    slot = template.slot(page) if template else None
+    text = template.text if slot is not None else ()
+    live = [_segment(page.path[at], t) not in text for at, t in page.blocks] if text else [True] * len(page.blocks)
+    words = [0] * len(page.parent)
+    for (at, t), ok in zip(page.blocks, live, strict=True):
+        words[at] += ok * (t.count(" ") + 1)
+    for at in range(len(words) - 1, 0, -1):
+        words[page.parent[at]] += words[at]
+    tops = [0] if slot is None else [slot]
+    if slot is None:
+        # Without a template the outermost articles, else main elements, that hold any text.
+        for kind in ("article", "main"):
+            mark = [page.flags[at] & STOPS and page.kind[at] == kind and not page.flags[at] & NAMED and words[at] > 0 for at in range(len(words))]
+            found: list[int] = []
+            covered = [False] * len(words)
+            for at in range(1, len(words)):
+                covered[at] = covered[page.parent[at]]
+                if mark[at] and not covered[at]:
+                    covered[at] = True
+                    found.append(at)
+            if found:
+                tops = found
+                break
+    whole = sum(words[t] for t in tops)
+    # 1: in the slot; 2: beside a template's slot, where only a heading of the first level is text.
+    state = [0 if slot is None else 2] * len(words)
+    for t in tops:
+        state[t] = 1
+    ways = set()
+    for t in tops:
+        while t > 0:
+            t = page.parent[t]
+            ways.add(t)
+    chosen = set(tops)
+    for at in range(len(words)):
+        if at and at not in chosen:
+            up = state[page.parent[at]]
+            state[at] = up
+            if page.flags[at] & NAMED and at not in ways:
+                known = slot is not None and page.path[at] in template.known
+                if up != 1 or known or 2 * words[at] < whole:
+                    state[at] = 0
+    return [t for (at, t), ok in zip(page.blocks, live, strict=True) if ok and (state[at] == 1 or (state[at] == 2 and page.flags[at] & TITLE))]
+
+
+def _frequent(counted: DataFrame) -> DataFrame:
+    """The tokens that a template can have, with the number of tokens in their class and the pages of their host."""
+    pages = counted.where("seg = 0 and parent = 0").select("host", F.col("n").alias("pages"))
+    seen = counted.where("n >= 2")
+    size = seen.groupBy("host", "n", "a", "b").agg(F.sum(F.when(F.col("seg") == 0, 2).otherwise(1)).alias("size"))
+    seen = seen.join(size, ["host", "n", "a", "b"]).join(pages, "host")
+    places = seen.where("seg = 0").select("host", "path", F.col("n").alias("place_n"))
+    texts = seen.where(f"seg <> 0 and n >= {FREQUENT}").join(places, ["host", "path"]).where(F.col("n") >= SHARE * F.col("place_n")).drop("place_n")
+    both = seen.where("seg = 0").unionByName(texts)
+    return both.where(F.col("n") >= ELEMENT_SHARE * F.col("pages"))
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """The template of every host with two different pages or more; ``pages`` has host, key and html."""
+    counted = in_small_batches(pages).mapInArrow(_count, _COUNTS)
+    total = {c: F.sum(c).alias(c) for c in ("n", "once", "words", "a", "b")}
+    counted = counted.groupBy("host", "path", "seg").agg(*total.values(), F.max("parent").alias("parent"), F.max("flags").alias("flags"))
+    counted = stored(counted.where("n >= 2"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        groups = -(-int(rows["pages"].iloc[0]) // GROUP_PAGES)
+        return pd.DataFrame([{"host": rows["host"].iloc[0], "groups": groups, **deduce(rows)}])
+
+    return stored(_frequent(counted).groupBy("host").applyInPandas(run, _TEMPLATE))
+
+
+def _texts(pages: list[tuple], template_of) -> pa.RecordBatch:
     out = []
-    for x in page.blocks:
-        b = x[0]
-        at = b.within.index(slot) + 1 if slot in b.within else 0
-        title = b.path.rsplit("/", 1)[-1].split(".", 1)[0] == "h1"
-        if (at or not slot or title) and not any(b.named[at:]):
-            out.append(x)
-    return out
-
-
-def extract(pages: Sequence[str | None]) -> list[str]:
-    """The main text of each page of a group of one host."""
-    parsed = [read(p) for p in pages]
-    out = [""] * len(parsed)
-    for members in clusters(parsed):
-        cluster = [parsed[k] for k in members]
-        words = repeated_words(cluster)
-        inside = elements(cluster) if len(cluster) > 1 else set()
-        slot = main_slot(cluster, inside, words) if inside else None
-        chosen = [by_names(page) if slot is None else in_slot(page, slot) for page in cluster]
-        if slot is not None:
-            blocks = repeated_blocks(chosen)
-            chosen = [[x for x in page if (x[1], x[0].path) not in blocks and not all((w, x[0].path) in words for w in x[2])] for page in chosen]
-        for k, page in zip(members, chosen, strict=True):
-            out[k] = "\n".join(text for _, text, _ in page)
-    return out
-
-
-def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", content: str = "html", group_pages: int = GROUP_PAGES) -> DataFrame:
+    for page_id, url, host, content in pages:
+        text = "\n".join(extract(read(content), template_of(host)))
+        out.append((page_id, url, text, len(text)))
+    columns = zip(*out, strict=True) if out else [[]] * 4
+    types = (pa.int64(), pa.string(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["page_id", "url", "text", "n_chars"])
+
+
+def _first_copies(rows: DataFrame) -> DataFrame:
+    """One row of each content of a host."""
+    copies = rows.groupBy("host", "key").agg(F.min(F.struct("page_id", "url")).alias("keep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    copies = stored(copies)
+    if copies.count() <= BROADCAST_COPIES:
+        copies = F.broadcast(copies)
+    both = rows.join(copies, ["host", "key"], "left")
+    return both.where(F.col("keep").isNull() | F.struct("page_id", "url").eqNullSafe(F.col("keep"))).select("host", "key", "html")
+
+
+def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", content: str = "html", broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """The main text of every page.
 
     Returns ``page_id, url, text, n_chars``, one row per input row: ``text`` joins
     the main blocks in page order by newlines and is empty if there is none,
     ``n_chars`` counts its code points.  A null or empty page gives an empty text;
-    pages whose url is null or has no host form a group of their own; repeated
-    rows stay repeated; an empty table gives an empty result.
+    pages whose url is null or has no host form a host of their own.  Copies of a
+    page on a host count once for its template; rows alike in all columns stay
+    repeated, and count as often as they occur.  An empty table gives an empty
+    result; other columns do not matter.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(content).cast("string").alias("html"), host.alias("host"))
-    sizes = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / group_pages).cast("int").alias("groups"))
-    if sizes.count() <= BROADCAST_HOSTS:
-        sizes = F.broadcast(sizes)
-    rows = rows.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")).cast("int")).drop("groups")
-
-    def done(group: list[tuple]) -> pa.RecordBatch:
-        ids, urls, contents = zip(*group, strict=True)
-        texts = extract(contents)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-            names=["page_id", "url", "text", "n_chars"],
-        )
-
-    def run(batches):
-        # Groups arrive one after another; only the pages of the current one are held.
-        group, held = [], None
+    rows = pages.select(
+        F.col(page_id).cast("long").alias("page_id"),
+        F.col(url).cast("string").alias("url"),
+        F.xxhash64(host).alias("host"),
+        F.xxhash64(F.col(content).cast("string")).alias("key"),
+        F.col(content).cast("string").alias("html"),
+    )
+    found = templates(_first_copies(rows))
+    size = found.agg(F.coalesce(F.sum(F.size("path") + F.size("seg")), F.lit(0))).first()[0]
+    rows = rows.drop("key")
+    if size <= broadcast_tokens:
+        table = found.drop("groups").toArrow()
+        fields = [f for f in table.column_names if f != "host"]
+        shared = pages.sparkSession.sparkContext.broadcast(table)
+
+        def beside(batches):
+            at = {h.as_py(): k for k, h in enumerate(shared.value.column("host"))}
+            known: dict[int, Template | None] = {}
+
+            def template_of(host: int) -> Template | None:
+                if host not in known:
+                    known[host] = Template(**{f: shared.value.column(f)[at[host]].as_py() for f in fields}) if host in at else None
+                return known[host]
+
+            for batch in batches:
+                yield _texts(list(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html")), strict=True)), template_of)
+
+        return in_small_batches(rows).mapInArrow(beside, _TEXTS)
+
+    # Each group of a host's pages is led by a copy of its template.
+    groups = found.select("host", "groups")
+    dealt = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_COPIES else groups, "host", "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))).cast("int")).drop("groups")
+    lead = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    both = dealt.withColumn("follows", F.lit(True)).unionByName(lead.withColumn("follows", F.lit(False)), allowMissingColumns=True)
+
+    def follow(batches):
+        held, template = None, None
         for batch in batches:
-            where, part, *columns = (batch.column(c).to_pylist() for c in ("host", "part", "page_id", "url", "html"))
-            for key, page in zip(zip(where, part, strict=True), zip(*columns, strict=True), strict=True):
-                if group and (key != held or len(group) == 2 * group_pages):
-                    yield done(group)
-                    group = []
-                held = key
-                group.append(page)
-        if group:
-            yield done(group)
-
-    dealt = rows.repartition("host", "part").sortWithinPartitions("host", "part", "page_id", "url")
-    return in_small_batches(dealt).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            ready = []
+            for row in batch.to_pylist():
+                key = row["host"], row["part"]
+                if not row["follows"]:
+                    held, template = key, Template(**{f: row[f] for f in ("path", "weight", "direct", "element", "seg")})
+                elif key != held:
+                    held, template = key, None
+                if row["follows"]:
+                    ready.append((row["page_id"], row["url"], template, row["html"]))
+            yield _texts(ready, lambda t: t)
+
+    both = both.repartition("host", "part").sortWithinPartitions("host", "part", "follows")
+    return in_small_batches(both).mapInArrow(follow, _TEXTS)
