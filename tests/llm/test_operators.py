@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import fingerprint, jaccard, mixing, packing, quality, tokens, topk, toxicity
+from tidewell.llm import fingerprint, jaccard, mixing, packing, quality, tokens, toxicity
 from tidewell.llm.chat import reply_ordered
 
 SF = "/root/testdata/sf0.01"
@@ -165,22 +165,6 @@ def test_rows_that_share_an_id_or_have_none_are_told_apart(spark):
     assert sum(i is None and (t or "").startswith("u0 ") for i, t in kept) == 1
 
 
-def test_top_k_is_exact(spark):
-    rnd = np.random.default_rng(1)
-    rows = [(i, [float(x) for x in rnd.normal(size=32)]) for i in range(240)]
-    rows += [(300, rows[3][1]), (301, rows[3][1]), (302, None), (303, [float("nan")] * 32), (304, [None] * 32)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    whole = {i: np.floor(256 * np.asarray(v, np.float32).astype(float)).astype(int) for i, v in rows if i < 302}
-    want = []
-    for q in whole:
-        if q % 50 == 0:
-            best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:5]
-            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
-    got = topk.top_k(frame, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
-    assert topk.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
-
-
 def test_mix_meets_the_targets(spark, documents, awkward):
     rows = mixing.mix(documents).join(documents.select("doc_id", "source"), "doc_id").collect()
     total, taken, target, size = sum(r["size"] for r in rows), defaultdict(int), {}, {}

@@ -7,9 +7,12 @@ squared distance of q and x from below, so
     q . x  <=  sum(len * (mq * mx + sq * sx)),
 
 the same bound written for the inner product.  Finer segments bound it tighter.
-Candidates go from the coarsest level to the finest; at each level only pairs
-whose bound still reaches the query's k-th best score go on, and the survivors'
-scores are computed exactly, in integers.
+Candidates go from the coarsest level to the finest; a level is only worked out for
+the pairs that the levels before left over, only pairs whose bound still reaches the
+query's k-th best score go on, and the survivors' scores are computed exactly, in
+integers, those of the greatest bounds first.  A query starts with the k-th best score among some other queries, which
+are candidates too.  A level that prunes less than it costs (vectors without
+structure at its resolution) is left out for a while; that changes no result.
 
 Queries travel in chunks of a bounded number of bytes; each chunk passes over the
 candidates once, and each task keeps only its k best per query.
@@ -31,15 +34,21 @@ CHUNK_BYTES = 32 << 20
 #: Segments of the levels, coarse to fine; levels finer than the vector are left out.
 LEVELS = (1, 4, 16, 32)
 #: Below any score.
-NOTHING = -(1 << 62)
+NOTHING = -(1 << 63)
 #: Pairs in a block of queries by candidates.
 BLOCK_QUERIES, BLOCK_ROWS = 512, 2048
+#: Candidates of the greatest bounds of a block that are worked out first.
+BEST = 128
+#: Below this share of pairs alive, bounds are worked out pair by pair.
+SPARSE = 0.05
+#: A level rests for so many blocks once it pruned less than this part of what it costs.
+WORTH, REST = 0.2, 15
 
 
 def quantised(vector: Column) -> Column:
-    """floor(256 * x) of every component as array<int>; null if the vector can't take part."""
+    """floor(256 * x) of every component as array<long>, at most what a long holds; null if the vector can't take part."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * 256).cast("int")))
+    return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * 256).cast("long")))
 
 
 def segment_stats(x: np.ndarray, segments: int) -> np.ndarray:
@@ -53,42 +62,107 @@ def segment_stats(x: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack([mean, dev]) * np.sqrt(np.tile(length, 2))
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of two integer matrices, pair by pair; beyond a long they are its limit."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    most = float(np.abs(a.astype(np.float64)).max()) * float(np.abs(b.astype(np.float64)).max()) * a.shape[1]
+    if most < 2**53:
+        return np.einsum("ij,ij->i", a.astype(np.float64), b.astype(np.float64)).astype(np.int64)
+    if most < 2**62:
+        return np.einsum("ij,ij->i", a, b)
+    info = np.iinfo(np.int64)
+    whole = (a.astype(object) * b.astype(object)).sum(axis=1)
+    return np.array([min(max(x, info.min + 1), info.max) for x in whole], np.int64)
+
+
 class QueryBlock:
     """Queries of one dimension with their statistics and the best found so far."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS):
         self.ids, self.k = ids, k
         self.exact = vectors.astype(np.int64)
         x = vectors.astype(np.float64)
-        self.levels = [n for n in LEVELS if n < x.shape[1]]
-        self.stats = [segment_stats(x, n) for n in self.levels]
-        # (score, -id) of the k best, as sorted pairs; missing ones are far below any score.
+        self.levels = [n for n in levels if n < x.shape[1]]
+        self.stats = {n: segment_stats(x, n) for n in self.levels}
+        # Pairs that each level was asked for and that it pruned, how long it is left out, and exact products.
+        self.asked = dict.fromkeys(self.levels, 0)
+        self.pruned = dict.fromkeys(self.levels, 0)
+        self.idle = dict.fromkeys(self.levels, 0)
+        self.computed = 0
+        # (score, id) of the k best, as sorted pairs; missing ones are far below any score.
         self.score = np.full((len(ids), k), NOTHING)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.reach = np.full(len(ids), NOTHING)
+        self._seed()
+
+    def _seed(self) -> None:
+        """Start from the k-th best score among the other queries of the block; one of a pair of ids counts."""
+        n = len(self.ids)
+        if n <= self.k or len(np.unique(self.ids)) < n:
+            return
+        for a in range(0, n, 64):
+            q, c = (v.ravel() for v in np.meshgrid(np.arange(a, min(n, a + 64)), np.arange(n), indexing="ij"))
+            got = products(self.exact[q], self.exact[c]).reshape(-1, n)
+            got[np.arange(len(got)), np.arange(a, a + len(got))] = NOTHING
+            self.reach[a : a + len(got)] = np.partition(got, n - self.k, axis=1)[:, n - self.k]
+
+    def _raise(self, bound: np.ndarray, exact: np.ndarray) -> None:
+        """Work out the candidates of the greatest bounds first; their k-th best score is in reach of every query."""
+        c = np.argpartition(bound, -BEST, axis=1)[:, -BEST:]
+        q, at = np.nonzero(np.take_along_axis(bound, c, axis=1) >= self.reach.astype(np.float64)[:, None])
+        got = np.full(c.shape, NOTHING)
+        got[q, at] = products(self.exact[q], exact[c[q, at]])
+        self.computed += len(q)
+        if self.k <= BEST:
+            self.reach = np.maximum(self.reach, np.sort(got, axis=1)[:, -self.k])
 
     def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         exact = vectors.astype(np.int64)
         x = vectors.astype(np.float64)
-        reach = self.score[:, -1].astype(np.float64)
-        q, c = (v.ravel() for v in np.meshgrid(np.arange(len(self.ids)), np.arange(len(ids)), indexing="ij"))
-        alive = self.ids[q] != ids[c]
-        q, c = q[alive], c[alive]
-        for n, stats in zip(self.levels, self.stats, strict=True):
-            bound = stats @ segment_stats(x, n).T
+        self.reach = np.maximum(self.reach, self.score[:, -1])
+        reach = self.reach.astype(np.float64)
+        alive = self.ids[:, None] != ids[None, :]
+        pairs = None  # (query, candidate) once few are left
+        left = int(alive.sum())
+        for n in self.levels:
+            if self.idle[n]:
+                self.idle[n] -= 1
+                continue
+            theirs = segment_stats(x, n)
+            before = left
             # Rounding of the bound must not lose an equal score.
-            slack = 1e-9 * (np.abs(bound).max(initial=1.0) + 1)
-            ok = (bound + slack >= reach[:, None])[q, c]
-            q, c = q[ok], c[ok]
+            slack = 1e-9 * (np.linalg.norm(self.stats[n], axis=1).max(initial=0.0) * np.linalg.norm(theirs, axis=1).max(initial=0.0) + 1)
+            if pairs is None:
+                bound = self.stats[n] @ theirs.T + slack
+                if n == self.levels[-1] and len(ids) > BEST:
+                    self._raise(np.where(alive, bound, -np.inf), exact)
+                    reach = self.reach.astype(np.float64)
+                alive &= bound >= reach[:, None]
+                left = int(alive.sum())
+                if left < SPARSE * alive.size:
+                    pairs = np.nonzero(alive)
+            else:
+                q, c = pairs
+                ok = np.einsum("ij,ij->i", self.stats[n][q], theirs[c]) + slack >= reach[q]
+                pairs = q[ok], c[ok]
+                left = len(pairs[0])
+            self.asked[n] += before
+            self.pruned[n] += before - left
+            if n != self.levels[-1] and before - left < before * min(1, 2 * n / x.shape[1]) * WORTH:
+                self.idle[n] = REST
+        q, c = pairs if pairs is not None else np.nonzero(alive)
         if not len(q):
             return
-        got = np.concatenate([np.einsum("ij,ij->i", self.exact[q[a : a + 65536]], exact[c[a : a + 65536]]) for a in range(0, len(q), 65536)])
-        ok = got >= self.score[q, -1]
+        self.computed += len(q)
+        got = np.concatenate([products(self.exact[q[a : a + 65536]], exact[c[a : a + 65536]]) for a in range(0, len(q), 65536)])
+        ok = got >= self.reach[q]
         q, c, got = q[ok], c[ok], got[ok]
         # The best of old and new together, ties to the smaller id.
         rows = np.concatenate([np.repeat(np.arange(len(self.ids)), self.k), q])
         score = np.concatenate([self.score.ravel(), got])
         found = np.concatenate([self.found.ravel(), ids[c]])
-        order = np.lexsort((found, -score, rows))
+        order = np.lexsort((found, ~score, rows))
         rows, score, found = rows[order], score[order], found[order]
         first = np.searchsorted(rows, np.arange(len(self.ids)))
         take = (first[:, None] + np.arange(self.k)).ravel()
@@ -119,14 +193,14 @@ def top_k(
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score long"
     for dim, count in sorted((r["n"], r["rows"]) for r in asked):
-        chunks = max(1, math.ceil(count * dim * 4 / chunk_bytes))
+        chunks = max(1, math.ceil(count * dim * 8 / chunk_bytes))
         same = rows.where(F.col("n") == dim)
         for part in range(chunks):
             wanted = same.where("asks").where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == part).groupBy("vec_id").agg(F.min("v").alias("v"))
             table = wanted.toArrow()
             if not table.num_rows:
                 continue
-            matrix = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(np.int32)
+            matrix = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
             shared = spark.sparkContext.broadcast((table.column("vec_id").to_numpy(), matrix))
 
             def run(batches, shared=shared, dim=dim):
