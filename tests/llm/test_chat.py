@@ -1,0 +1,124 @@
+"""Quotation linking against a plain linker on generated mail."""
+
+import random
+import re
+
+import pytest
+
+from tidewell.llm.chat import conversations, reply_ordered
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+SAYS = re.compile(r"(?:wrote|writes|schrieb|écrit|escribió) ?:$")
+
+
+def parse(text):
+    """Lines as (level, line, norm) and passages as (level, norm, line numbers)."""
+    lines = []
+    for x in re.split(r"\r\n|\n|\r", text or ""):
+        m = re.match(r"(?:[ \t]*>)+", x)
+        marks = m[0] if m else ""
+        lines.append((marks.count(">"), x, " ".join(re.sub(r"^(?:[ \t]*>)+ ?", "", x).lower().split())))
+    passages, run = [], []
+    for k, (level, _, norm) in enumerate(lines):
+        if run and (not norm or level != lines[run[-1]][0]):
+            passages.append(run)
+            run = []
+        if norm:
+            run.append(k)
+    if run:
+        passages.append(run)
+    return lines, [(lines[r[0]][0], " ".join(lines[k][2] for k in r), r) for r in passages]
+
+
+def plain(rows):
+    """reply_to, own text, quoted passages of every message of one conversation, by scanning all earlier messages."""
+    parsed = {t: parse(text) for _, t, _, text in rows}
+    units = {t: {(p[0], p[1]) for p in ps} | {(x[0], x[2]) for x in ls if x[2]} for t, (ls, ps) in parsed.items()}
+    out = {}
+    for t, (lines, passages) in parsed.items():
+        weight = {}
+        for norm in {n for level, n in units[t] if level > 0}:
+            level = min(v for v, n in units[t] if n == norm and v > 0)
+            said = [u for u in units if u < t and (0, norm) in units[u]]
+            if said:
+                key = level, max(said)
+                weight[key] = weight.get(key, 0) + len(norm)
+        best = max(weight, key=lambda k: (-k[0], weight[k], k[1]), default=None)
+        known = {n for level, n in units[t] if level > 0 and any(n == m for u in units if u < t for _, m in units[u])}
+        # Bare marks behind a passage go with it.
+        ends = [p[2][0] for p in passages[1:]] + [len(lines)]
+        goes = {k for (level, n, run), end in zip(passages, ends, strict=True) if level > 0 and n in known for k in range(run[0], end) if lines[k][0] > 0} | {k for k, x in enumerate(lines) if x[0] > 0 and x[2] in known}
+        own = []
+        for k, (level, line, norm) in enumerate(lines):
+            after = k + 1 in goes
+            if k in goes or (level == 0 and SAYS.search(norm) and after) or (level > 0 and not norm and (after or k + 1 == len(lines) or lines[k + 1][0] == 0)):
+                continue
+            own.append(line)
+        out[t] = (best[1] if best else None, "\n".join(own).strip(), sum(p[0] > 0 for p in passages))
+    return out
+
+
+def mail(rnd, n):
+    """A conversation: messages quote parts of earlier ones, levels nested, white space and case changed, some quotes from outside."""
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    texts = []
+    for t in range(n):
+        out = []
+        for _ in range(rnd.randint(0, 2)) if t else ():
+            kind = rnd.random()
+            if kind < 0.15:
+                out += ["> " + " ".join(word() for _ in range(5)), ""]
+                continue
+            source = texts[rnd.randrange(t)].split("\n")
+            a = rnd.randrange(len(source))
+            if rnd.random() < 0.4:
+                out.append("On some day A B wrote:")
+            for line in source[a : a + rnd.randint(1, 4)]:
+                line = line.upper() if rnd.random() < 0.2 else line.replace(" ", "  ") if rnd.random() < 0.2 else line
+                out.append((">" if line.startswith(">") else "> ") + line)
+            out.append("")
+        for _ in range(rnd.randint(1, 3)):
+            out += [" ".join(word() for _ in range(rnd.randint(3, 8))) for _ in range(rnd.randint(1, 3))] + [""]
+        if t and rnd.random() < 0.2:
+            out.append(next((x for x in texts[rnd.randrange(t)].split("\n") if x and not x.startswith(">")), "again"))
+        texts.append("\n".join(out))
+    return texts
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_and_texts_are_those_of_a_plain_linker(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(c, t, "user" if t % 2 else "assistant", text) for c in range(12) for t, text in enumerate(mail(rnd, rnd.randint(1, 14)))]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.conv_id, r.turn): (r.reply_to, r.text, r.n_quoted) for r in reply_ordered(frame).collect()}
+    want = {(c, t): v for c in range(12) for t, v in plain([r for r in rows if r[0] == c]).items()}
+    assert got == want
+    assert sum(v[0] is not None for v in want.values()) > 15
+    depth, order = {}, {}
+    for r in conversations(frame).collect():
+        for k, m in enumerate(r.messages):
+            order[r.conv_id, m.turn] = k
+            assert m.text == want[r.conv_id, m.turn][1]
+            if m.reply_to is None:
+                assert r.thread == m.turn and m.depth == 0
+            else:
+                assert order[r.conv_id, m.reply_to] < k and m.depth == depth[r.conv_id, m.reply_to] + 1
+            depth[r.conv_id, m.turn] = m.depth
+    assert len(order) == len(rows)
+
+
+def test_awkward_conversations(spark):
+    long = "\n".join(f"line number {k} of a long text" for k in range(20_000))
+    rows = [(1, 0, "u", long), (1, 1, "a", "> line number 7 of a long text\nyes"), (1, 1, "a", "> line number 7 of a long text\nyes"), (2, 0, None, ""), (2, 1, "a", None), (None, 3, "u", "> x"), (3, None, "u", "y"), (1, 5000, "u", "> yes")]
+    frame = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA + ", thread string, known int")
+    got = sorted((r.conv_id or -1, r.turn or -1, r.reply_to, len(r.text)) for r in reply_ordered(frame).collect())
+    assert len(got) == len(rows) and got.count((1, 1, 0, 3)) == 2 and (1, 5000, 1, 0) in got
+    parts = conversations(frame, turns=1024).collect()
+    assert {(r.conv_id, r.thread, r.part): len(r.messages) for r in parts} == {(1, 0, 0): 2, (1, 0, 4): 1, (2, 0, 0): 1, (2, 1, 0): 1}
+    assert conversations(frame.limit(0)).count() == 0
+
+
+def test_one_conversation_holds_nearly_all(spark):
+    rows = [(0, t, "u", f"> said at {t - 1}\n\nsaid at {t}" if t else "said at 0") for t in range(3000)] + [(c, 0, "u", "hello") for c in range(1, 40)]
+    got = {(r.conv_id, r.turn): r for r in reply_ordered(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[0, t].reply_to == t - 1 and got[0, t].depth == t and got[0, t].text == f"said at {t}" for t in range(1, 3000))

@@ -174,3 +174,18 @@ def reply_ordered(messages: DataFrame, conv_id: str = "conv_id", turn: str = "tu
         "n_quoted",
         F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"),
     )
+
+
+def conversations(messages: DataFrame, turns: int = 1024, **columns: str) -> DataFrame:
+    """Built conversations: per thread an array of its messages in reply order, without quotes.
+
+    Returns ``conv_id, thread, part, messages``, where ``messages`` is
+    array<struct<turn, reply_to, depth, role, text>> in the order of turns, so that a
+    message follows the one it replies to.  A thread longer than ``turns`` turns comes
+    in parts of consecutive turns; so no array grows with its thread.  Messages
+    without a conversation or turn are left to :func:`reply_ordered`; a repeated row is
+    said once.  An empty table gives an empty result.
+    """
+    rows = reply_ordered(messages, **columns).where("conv_id is not null and turn is not null")
+    rows = rows.withColumn("part", F.floor(F.col("turn") / turns)).select("conv_id", "thread", "part", F.struct("turn", "reply_to", "depth", "role", "text").alias("message"))
+    return rows.groupBy("conv_id", "thread", "part").agg(F.sort_array(F.collect_set("message")).alias("messages"))

@@ -23,8 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
     ``spark.checkpoint.dir`` (or a checkpoint folder set already) is used as
-    given.  Only where neither is set, as in tests on one machine, a temporary
-    folder is made.
+    given.  Where neither is set, a session on one machine gets a temporary folder;
+    on a cluster that is an error, since executors would not see it.
     """
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
@@ -32,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
         return known.get()
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tidewell-checkpoint-")
         atexit.register(shutil.rmtree, where, True)
     sc.setCheckpointDir(where)
@@ -48,11 +50,14 @@ def stored(df: DataFrame) -> DataFrame:
     """Write a frame as Parquet into the shared folder and read it back.
 
     Unlike a checkpoint the result can be read by column.  The schema is passed
-    on, so an empty frame keeps its columns.
+    on, so an empty frame keeps its columns.  The folder goes when the driver's JVM
+    ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,7 +68,8 @@ BATCH_ROWS = 500
 def in_small_batches(df: DataFrame) -> DataFrame:
     """The same frame, with the session set to send rows to Python in small batches.
 
-    A batch is held several times over (in the JVM, as Arrow, as Python strings);
+    Spark reads the setting when a frame is planned, so it stays set for the session;
+    a smaller one is left alone.  A batch is held several times over (in the JVM, as Arrow, as Python strings);
     the default of 10,000 whole texts would make memory follow their length.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, k: int = SIZE, n: int = WORDS, text: str = "te
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(body).alias("th"), body.alias("text"))
     chain = successors(docs, text, doc_id)
     same = rows["id"].eqNullSafe(chain["id"]) & (rows["th"] == chain["th"])
-    placed = rows.join(chain.hint("shuffle_hash"), same).select(rows["id"], rows["th"], "text", "prev_id", "prev_th", "prev_n")
+    placed = rows.join(chain, same).select(rows["id"], rows["th"], "text", "prev_id", "prev_th", "prev_n")
     # What a document hands to its predecessor: the text for the edit, and its sketch.
     given = with_sketch(placed, F.col("text"), "next_sketch", k, n).select(
         F.col("prev_id").alias("to_id"), F.col("prev_th").alias("to_th"), F.expr("left(text, int(prev_n div 2))").alias("tail"), "next_sketch"
@@ -106,7 +106,7 @@ def fingerprints(docs: DataFrame, k: int = SIZE, n: int = WORDS, text: str = "te
     repeats = chain.count() < docs.count()
     given = given.dropDuplicates(["to_id", "to_th"]) if repeats else given
     met = placed["id"].eqNullSafe(given["to_id"]) & (placed["th"] == given["to_th"])
-    whole = placed.join(given.hint("shuffle_hash"), met).select("id", "text", "tail", "next_sketch", F.char_length("text").cast("long").alias("n_chars"))
+    whole = placed.join(given, met).select("id", "text", "tail", "next_sketch", F.char_length("text").cast("long").alias("n_chars"))
     whole = whole.withColumn("edited", F.concat(F.expr("left(text, int(n_chars - n_chars div 2))"), "tail")).drop("tail")
     whole = with_sketch(whole, F.col("text"), "sketch", k, n)
     whole = with_sketch(whole, F.col("edited"), "edited_sketch", k, n)

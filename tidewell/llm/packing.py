@@ -3,18 +3,18 @@
 Documents are tokenised where they lie.  Overlong ones are first cut into full
 windows; what is left of each goes, longest first, into the open window with the
 least room that still suffices.  A segment tree indexed by remaining room finds
-that window in logarithmic time.  The packing runs in shards of a bounded number
-of documents, so no task grows with the input; only piece records are shuffled,
-never texts or ids.
+that window in logarithmic time.  The packing runs in shards of about a fixed number
+of documents; a task sorts its shards (on disk if need be) and holds the open windows
+of one.  Only piece records are shuffled, never texts or ids.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,20 +61,28 @@ class RoomTree:
         return room, self.open[room].pop()
 
 
-def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
-    """Window and offset of each piece; pieces must come longest first."""
-    tree, windows, at, offset = RoomTree(window), 0, [], []
-    for n in lengths:
-        found = tree.take(n) if n < window else None
+class Packing:
+    """Windows of one shard, filled by pieces that come longest first."""
+
+    def __init__(self, window: int):
+        self.tree, self.window, self.windows = RoomTree(window), window, 0
+
+    def place(self, n: int) -> tuple[int, int]:
+        """Window and offset of a piece of n tokens."""
+        found = self.tree.take(n) if n < self.window else None
         if found is None:
-            room, w = window, windows
-            windows += 1
-        else:
-            room, w = found
-        at.append(w)
-        offset.append(window - room)
-        tree.add(room - n, w)
-    return at, offset
+            found = self.window, self.windows
+            self.windows += 1
+        room, at = found
+        self.tree.add(room - n, at)
+        return at, self.window - room
+
+
+def best_fit(lengths: Iterable[int], window: int) -> tuple[list[int], list[int]]:
+    """Window and offset of each piece; pieces must come longest first."""
+    packing = Packing(window)
+    placed = [packing.place(n) for n in lengths]
+    return [w for w, _ in placed], [o for _, o in placed]
 
 
 def pack(
@@ -123,13 +131,22 @@ def pack(
     pieces = in_small_batches(src).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, doc_crc32 long" + more)
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "doc_crc32", "doc_tokens"), F.lit(shards)))
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start", "doc_crc32", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable")
-        at, offset = best_fit(pdf["length"].tolist(), window)
-        pdf["sequence_id"] = np.array(at, np.int64) * shards + int(pdf["shard"].iloc[0])
-        pdf["offset"] = np.array(offset, np.int64)
-        return pdf[out_names]
-
     out_names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+
+    def fill(batches):
+        # Shards arrive one after another, longest pieces first; only a shard's open windows are held.
+        held, packing = None, None
+        for batch in batches:
+            at, offset = [], []
+            for shard, n in zip(batch.column("shard").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                if shard != held:
+                    held, packing = shard, Packing(window)
+                w, o = packing.place(n)
+                at.append(w * shards + shard)
+                offset.append(o)
+            found = {"sequence_id": pa.array(at, pa.int64()), "offset": pa.array(offset, pa.int64())}
+            yield pa.RecordBatch.from_arrays([found[c] if c in found else batch.column(c) for c in out_names], names=out_names)
+
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + more
-    return pieces.groupBy("shard").applyInPandas(fill, schema)
+    order = ["shard", F.col("length").desc(), "doc_id", "start", "doc_crc32", "ids_crc32"]
+    return pieces.repartition("shard").sortWithinPartitions(*order).mapInArrow(fill, schema)
