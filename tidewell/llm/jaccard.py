@@ -24,7 +24,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -37,8 +36,8 @@ from tidewell.llm.sets import mixed, shingles
 #: Chance that a pair exactly at the threshold shares no band.
 MISS = 1e-9
 ROWS_PER_BAND = 6
-#: A class with more sets is compared as pairs of blocks of about this many.
-BLOCK = 256
+#: A class with more sets, or more shingles in them, is compared as pairs of blocks of about this many.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: With more candidate sets than this, their texts are fetched by a shuffle instead of a broadcast of their ids.
 BROADCAST_IDS = 200_000
 LEAF, FANOUT, BITMAP_WORDS = 16, 8, 32
@@ -171,22 +170,27 @@ class SignatureTree:
         return out
 
 
-def _roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]], rank: np.ndarray) -> np.ndarray:
-    """For each of n nodes the node of least rank in its component."""
-    parent = list(range(n))
+class _Roots:
+    """For each of n nodes the node of least rank in its component, as links come in."""
 
-    def find(v: int) -> int:
+    def __init__(self, rank: np.ndarray):
+        self.parent, self.rank = list(range(len(rank))), rank.tolist()
+
+    def find(self, v: int) -> int:
+        parent = self.parent
         while parent[v] != v:
             parent[v] = v = parent[parent[v]]
         return v
 
-    for i, j in pairs:
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            a, b = find(a), find(b)
+            a, b = self.find(a), self.find(b)
             if a != b:
-                a, b = (a, b) if rank[a] <= rank[b] else (b, a)
-                parent[b] = a
-    return np.fromiter(map(find, range(n)), np.int64, n)
+                a, b = (a, b) if self.rank[a] <= self.rank[b] else (b, a)
+                self.parent[b] = a
+
+    def all(self) -> np.ndarray:
+        return np.fromiter(map(self.find, range(len(self.parent))), np.int64, len(self.parent))
 
 
 def signatures(docs: DataFrame, n: int, percent: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -213,41 +217,61 @@ def signatures(docs: DataFrame, n: int, percent: int, text: str = "text", doc_id
     return in_small_batches(src).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_hash string, bands array<long>")
 
 
+#: Sets that small groups are compared in together, and their shingles.
+TREE_SETS, TREE_SHINGLES = 2048, 4_000_000
+
+
 def _compare(percent: int, n: int):
-    """Compare the sets of each group of a partition under one signature tree."""
+    """Compare the sets of each group of a partition; groups arrive one after another, small ones share a signature tree."""
 
-    def run(batches):
-        frames = [b.to_pandas() for b in batches]
-        rows = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame()
-        if not len(rows):
-            return
-        sets = [shingles(t, n) for t in rows.pop("text")]
-        # Only a text with the node's set counts, and once.
-        fits = np.array([bool(len(s)) and set_hash(s) == h for s, h in zip(sets, rows["set_hash"], strict=True)], bool)
-        rows["at"] = np.arange(len(rows))
-        rows = rows[fits].drop_duplicates(["class", "i", "j", "node"])
-        if not len(rows):
-            return
-        sets = [sets[k] for k in rows["at"]]
-        group = rows.groupby(["class", "i", "j"], sort=False).ngroup().to_numpy()
-        side = np.where(rows["i"].to_numpy() == rows["j"].to_numpy(), -1, rows["block"].to_numpy())
-        node, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
-        pairs = list(SignatureTree(sets, group).links(percent, side))
+    def links(groups: list[list[tuple]]) -> pa.RecordBatch:
+        rows = [(g, *row) for g, group in enumerate(groups) for row in group]
+        group, sets, node, copies, side, whole = zip(*rows, strict=True)
+        node, copies = np.array(node, np.int64), np.array(copies, np.int64)
         linked = np.zeros(len(sets), np.int64)
-        for i, j in pairs:
+        roots = _Roots(node)
+        for i, j in SignatureTree(list(sets), np.array(group)).links(percent, np.array(side)):
             np.add.at(linked, i, copies[j])
             np.add.at(linked, j, copies[i])
-        root = _roots(len(sets), pairs, node)
+            roots.link(i, j)
         out = linked > 0
-        yield pa.RecordBatch.from_pydict(
+        return pa.RecordBatch.from_pydict(
             {
                 "node": pa.array(node[out], pa.int64()),
-                "root": pa.array(node[root[out]], pa.int64()),
+                "root": pa.array(node[roots.all()[out]], pa.int64()),
                 "linked": pa.array(linked[out], pa.int64()),
-                "whole": pa.array(rows["blocks"].to_numpy()[out] == 1, pa.bool_()),
+                "whole": pa.array(np.array(whole)[out], pa.bool_()),
             }
         )
 
+    def run(batches):
+        ready: list[list[tuple]] = []
+        held, current, seen, size, weight = None, [], set(), 0, 0
+        names = ("class", "i", "j", "node", "copies", "block", "blocks", "set_hash", "text")
+        for batch in batches:
+            for c, i, j, node, copies, block, blocks, h, text in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
+                if (c, i, j) != held:
+                    if len(current) > 1:
+                        ready.append(current)
+                    else:
+                        size, weight = size - len(current), weight - sum(len(row[0]) for row in current)
+                    if size >= TREE_SETS or weight >= TREE_SHINGLES:
+                        yield links(ready)
+                        ready, size, weight = [], 0, 0
+                    held, current, seen = (c, i, j), [], set()
+                if node in seen:
+                    continue
+                s = shingles(text, n)
+                # Only a text with the node's set counts, and once.
+                if len(s) and set_hash(s) == h:
+                    seen.add(node)
+                    current.append((s, node, copies, -1 if i == j else block, blocks == 1))
+                    size, weight = size + 1, weight + len(s)
+        if len(current) > 1:
+            ready.append(current)
+        if ready:
+            yield links(ready)
+
     return run
 
 
@@ -262,7 +286,7 @@ def _linked(docs: DataFrame, n: int, percent: int, text: str, doc_id: str) -> Da
     nodes = stored(
         signed.where("n_shingles > 0")
         .groupBy("set_hash")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("n_shingles"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     keyed = nodes.select("node", F.explode("bands").alias("key"))
@@ -270,7 +294,9 @@ def _linked(docs: DataFrame, n: int, percent: int, text: str, doc_id: str) -> Da
     meets = keyed.join(shared, "key").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
     classes = checkpointed(components(meets))
 
-    per_class = classes.groupBy(F.col("component").alias("class")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sized = classes.join(nodes.select("node", "n_shingles"), "node")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    per_class = sized.groupBy(F.col("component").alias("class")).agg(blocks.alias("blocks"))
     members = (
         classes.withColumnRenamed("component", "class")
         .join(per_class, "class")
@@ -288,7 +314,7 @@ def _linked(docs: DataFrame, n: int, percent: int, text: str, doc_id: str) -> Da
         rows = rows.union(bare.join(fetch.where("first.no_id"), F.col("fetch_hash") == F.col("first.text_hash")))
     rows = rows.drop("fetch_id", "fetch_hash", "first").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
-    found = checkpointed(rows.repartition("class", "i", "j").mapInArrow(_compare(percent, n), "node long, root long, linked long, whole boolean"))
+    found = checkpointed(in_small_batches(rows.repartition("class", "i", "j").sortWithinPartitions("class", "i", "j")).mapInArrow(_compare(percent, n), "node long, root long, linked long, whole boolean"))
 
     links = found.groupBy("node").agg(F.sum("linked").alias("linked"))
     final = found.where("whole").select("node", F.col("root").alias("component"))
@@ -300,7 +326,9 @@ def _linked(docs: DataFrame, n: int, percent: int, text: str, doc_id: str) -> Da
     final = final.join(lowest, "component").join(links, "node").select("node", "lowest", "linked")
     ids = nodes.select("set_hash", "node", "first", "copies").join(final, "node", "left")
     ids = checkpointed(ids.select("set_hash", F.coalesce("lowest", "first").alias("first"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")))
-    return signed.join(ids, "set_hash", "left").select("doc_id", "text_hash", "n_shingles", "first", "n_links")
+    # Documents without shingles have no set; they take no part in the shuffle.
+    bare = signed.where("set_hash is null").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast(ids.schema["first"].dataType).alias("first"), F.lit(None).cast("long").alias("n_links"))
+    return signed.where("set_hash is not null").join(ids, "set_hash").select("doc_id", "text_hash", "n_shingles", "first", "n_links").union(bare)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
