@@ -47,8 +47,12 @@ def z_value(df: DataFrame, columns: Sequence[str]) -> Column:
     return z
 
 
-def z_ordered(df: DataFrame, columns: Sequence[str], partitions: int) -> DataFrame:
-    """Rows in ``partitions`` ranges of the interleaved value, sorted within each."""
+def z_ordered(df: DataFrame, columns: Sequence[str], partitions: int, within: Sequence[str] = ()) -> DataFrame:
+    """Rows in ``partitions`` ranges of the interleaved value, sorted within each.
+
+    With ``within`` the ranges first follow those columns, so that a range holds one
+    or few of their values.
+    """
     name = next(n for n in (f"z_{k}" for k in range(len(df.columns) + 1)) if n not in df.columns)
     placed = df.withColumn(name, z_value(df, columns))
-    return placed.repartitionByRange(partitions, name, *columns).sortWithinPartitions(name, *columns).drop(name)
+    return placed.repartitionByRange(partitions, *within, name, *columns).sortWithinPartitions(*within, name, *columns).drop(name)
