@@ -1,5 +1,6 @@
 """Command line, compaction report, generator, driver queries."""
 
+from collections import Counter
 import json
 
 import duckdb
@@ -7,6 +8,8 @@ import pytest
 
 import __spark_entry__
 from tests.conftest import START
+from pyspark.sql import functions as F
+
 from tidewell import cli
 from tidewell.operators.generate import event_lines, generated, session_events, write_landing
 from tidewell.options import SILVER, Drive, LakeOptions
@@ -20,10 +23,25 @@ SF = "/root/testdata/sf0.001"
 
 def test_generator_is_seeded(spark):
     assert event_lines(5, START, seed=1) == event_lines(5, START, seed=1) != event_lines(5, START, seed=2)
-    lines = sorted(r.raw_value for r in generated(spark, 20, START, seed=4).collect())
+    lines = sorted(r.raw_value for r in generated(spark, 20, START, seed=4, partitions=7).collect())
     assert lines == sorted(event_lines(20, START, seed=4))
-    kinds = [e["type"] for e in session_events(3, START)]
-    assert kinds[0] == "SESSION_CREATED" and kinds[-1] == "SESSION_TERMINATED"
+    joins, started = Counter(), 0
+    for n in range(60):
+        events = session_events(n, START) if n < 5 else [json.loads(x) for x in event_lines(1, START, first=n)] if n < 8 else None
+        if events is None:
+            break
+        kinds = [e["type"] for e in events]
+        times = [e["eventTime"] for e in events]
+        assert kinds[0] == "SESSION_CREATED" and kinds[-1] == "SESSION_TERMINATED" and times == sorted(times)
+        assert [p["joinedAt"] for p in events[-1]["session"]["players"]] == [e["eventTime"] for e in events if e["type"] in ("SESSION_CREATED", "PLAYER_JOINED")]
+        assert all(e["session"]["currentPlayerCount"] == len(e["session"]["players"]) for e in events)
+        joins[kinds.count("PLAYER_JOINED")] += 1
+        started += "SESSION_STARTED" in kinds
+    assert sum(joins.values()) == 8
+    kinds = generated(spark, 4000, START).groupBy(F.get_json_object("raw_value", "$.type").alias("type")).count().collect()
+    per = {r.type: r["count"] / 4000 for r in kinds}
+    assert per["SESSION_CREATED"] == per["SESSION_TERMINATED"] == 1
+    assert abs(per["PLAYER_JOINED"] - 1.5) < 0.06 and abs(per["SESSION_STARTED"] - 0.6) < 0.03
 
 
 def test_landing_files(tmp_path):
@@ -41,9 +59,9 @@ def test_all_verbs(spark, tmp_path, capsys):
     cli.main(["compact", *common, "--iterations", "1", "--warmups", "0", "--vacuum"])
     out = capsys.readouterr().out
     assert "gold_session_duration" in out and "30 rows" in out and "== Longest running sessions ==" in out
-    assert "% fewer" in out and "superseded files deleted" in out and "row_count" in out
+    assert "mean_bytes" in out and "superseded files deleted" in out and "row_count" in out
     report = json.loads((tmp_path / "lake/_benchmarks/compaction.json").read_text())
-    assert report["after"]["files"] < report["before"]["files"] and len(report["timings"]) == 4
+    assert report["layout"]["files"]["after"] < report["layout"]["files"]["before"] and len(report["queries"]) == 4
     for verb in ("bronze", "silver", "gold"):
         cli.main([verb, *common])
     cli.main(["compact", "--base-path", str(tmp_path / "nowhere")])
@@ -74,8 +92,8 @@ def test_compaction_of_many_small_files(spark, tmp_path):
         write_batch(bronze(spark, lines[k::6]), table, quarantine, ("t", k))
     report = measure(spark, table, layout_queries("S0000001"), ["game_id", "session_code"], warmups=0, iterations=2)
     assert report.before.rows == report.after.rows == len(lines)
-    assert report.after.files < report.before.files and report.after.bytes < report.before.bytes and report.fewer_files > 0.5
-    assert "| `wide_aggregate` |" in report.markdown() and report.timings[1].rows == 1
+    assert report.after.files < report.before.files and report.after.bytes < report.before.bytes and report.body()["layout"]["files"]["ratio"] < 0.5
+    assert "wide_aggregate" in report.markdown() and report.timings[1].rows == 1
 
 
 @pytest.fixture(scope="module")

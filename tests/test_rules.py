@@ -43,23 +43,24 @@ def changed(**fields):
         ('{"eventId":"broken-json",', ALL),
         ("[]", ALL),
         ("{}", ALL),
-        (changed(eventTime="not-a-timestamp"), ["event_time_parses"]),
-        (changed(type="PLAYER_TELEPORTED"), ["event_type_known"]),
-        (changed(sessionCode=""), ["session_code_present"]),
-        (changed(sessionCode=...), ["session_code_present"]),
-        (changed(session__gameId=...), ["game_id_present"]),
-        (changed(session__gameId=""), []),
-        (changed(session__region=...), ["region_present"]),
-        (changed(session__state="GONE"), ["session_state_known"]),
-        (changed(session__currentPlayerCount=-3), ["player_count_non_negative"]),
-        (changed(session__currentPlayerCount=9), ["player_count_within_capacity"]),
-        (changed(session__maxPlayers=0), ["max_players_positive", "player_count_within_capacity"]),
-        (changed(schemaVersion=99), ["schema_version_supported"]),
-        (changed(session__metadata={"a": "b"}, extra=1), []),
-        (changed(eventTime="2026-08-27T09:00:00Z"), []),
+        (dict(eventTime="not-a-timestamp"), ["event_time_parses"]),
+        (dict(type="PLAYER_TELEPORTED"), ["event_type_known"]),
+        (dict(sessionCode=""), ["session_code_present"]),
+        (dict(sessionCode=...), ["session_code_present"]),
+        (dict(session__gameId=...), ["game_id_present"]),
+        (dict(session__gameId=""), []),
+        (dict(session__region=...), ["region_present"]),
+        (dict(session__state="GONE"), ["session_state_known"]),
+        (dict(session__currentPlayerCount=-3), ["player_count_non_negative"]),
+        (dict(session__currentPlayerCount=9), ["player_count_within_capacity"]),
+        (dict(session__maxPlayers=0), ["max_players_positive", "player_count_within_capacity"]),
+        (dict(schemaVersion=99), ["schema_version_supported"]),
+        (dict(session__metadata={"a": "b"}, extra=1), []),
+        (dict(eventTime="2026-08-27T09:00:00Z"), []),
     ],
 )
 def test_each_fault_reports_its_rules(spark, line, failures):
+    line = changed(**line) if isinstance(line, dict) else line
     got = prepare(bronze(spark, [line])).select(quality.FAILURES).first()[0]
     assert got == failures
 

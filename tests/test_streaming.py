@@ -19,7 +19,14 @@ from tidewell.sources.table import LakeTable
 from tidewell.streaming import bronze, gold, medallion, silver
 from tidewell.streaming.support import run_batches
 
-LINES = event_lines(60, START, seed=42)
+LINES: list[str] = []
+IDS: list[str] = []
+
+
+@pytest.fixture(scope="module", autouse=True)
+def made(spark):
+    LINES[:] = event_lines(60, START, seed=42)
+    IDS[:] = sorted(json.loads(x)["eventId"] for x in LINES)
 
 
 def options(tmp_path, **more):
@@ -38,9 +45,6 @@ def silver_ids(spark, o):
     return sorted(r.event_id for r in read(spark, o, SILVER).select("event_id").collect())
 
 
-IDS = sorted(json.loads(x)["eventId"] for x in LINES)
-
-
 def test_end_to_end_and_rerun(spark, tmp_path, rows):
     o = options(tmp_path)
     bad = ["this is not json at all", '{"eventId":"broken-json",', LINES[3].replace('"schemaVersion":1', '"schemaVersion":99')]

@@ -1,10 +1,11 @@
-"""``python -m tidewell.cli run|bronze|silver|gold|compact|query|history``."""
+"""``python -m tidewell.cli run|bronze|silver|gold|compact|query|history|generate``."""
 
 from __future__ import annotations
 
 import argparse
-from datetime import timedelta
+from datetime import UTC, datetime, timedelta
 
+from tidewell.operators.generate import SEED, land
 from tidewell.options import BRONZE, SILVER, Drive, LakeOptions
 from tidewell.plans.catalog import layout_queries, rendered, run_pack
 from tidewell.plans.compaction import measure
@@ -12,7 +13,7 @@ from tidewell.sources.events import EventSource, FileEventSource, KafkaEventSour
 from tidewell.sources.table import LakeTable
 from tidewell.streaming import bronze, gold, medallion, silver
 
-VERBS = ("run", "bronze", "silver", "gold", "compact", "query", "history")
+VERBS = ("run", "bronze", "silver", "gold", "compact", "query", "history", "generate")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -33,6 +34,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--iterations", type=int, default=7)
     p.add_argument("--warmups", type=int, default=2)
     p.add_argument("--vacuum", action="store_true")
+    p.add_argument("--sessions", type=int, default=1000, help="sessions to generate into the landing folder")
+    p.add_argument("--files", type=int, default=20)
+    p.add_argument("--spread-minutes", type=float, default=10)
+    p.add_argument("--seed", type=int, default=SEED)
     return p
 
 
@@ -86,6 +91,10 @@ def main(argv: list[str] | None = None) -> None:
         gold.run(spark, options)
     elif a.verb == "compact":
         compact(spark, options, a)
+    elif a.verb == "generate":
+        spread = timedelta(minutes=a.spread_minutes)
+        land(spark, options.landing, a.sessions, a.files, datetime.now(UTC) - spread, int(spread.total_seconds()), a.seed)
+        print(f"{a.sessions} sessions in {options.landing}")
     elif a.verb == "query":
         print("\n".join(run_pack(spark, options)))
     else:

@@ -19,6 +19,7 @@ JOINABLE_STATES = ("WAITING", "STARTING", "ACTIVE")
 GAMES = ("cyberpunk-2077", "fortnite", "rocket-league", "apex-legends")
 REGIONS = ("us-west-2", "us-east-1", "eu-central-1", "ap-northeast-1")
 
+# Names, types and order of the envelope's fields and of all tables' columns.
 _PLAYER = "struct<playerId:string,displayName:string,region:string,joinedAt:string,connected:boolean>"
 _SESSION = (
     f"struct<id:string,sessionCode:string,gameId:string,region:string,state:string,host:{_PLAYER},players:array<{_PLAYER}>,"

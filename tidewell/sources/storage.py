@@ -36,10 +36,14 @@ class Storage:
         """Files below a folder; none if it is not there."""
         if not self.exists(folder):
             return []
-        found, at = [], self.fs.listFiles(self._path(folder), recursive)
-        while at.hasNext():
-            s = at.next()
-            found.append(FileInfo(s.getPath().toString(), s.getLen(), s.getModificationTime()))
+        # Drafts of other writers come and go meanwhile; plain statuses don't look at them again.
+        found, folders = [], [self._path(folder)]
+        while folders:
+            for s in self.fs.listStatus(folders.pop()):
+                if not s.isDirectory():
+                    found.append(FileInfo(s.getPath().toString(), s.getLen(), s.getModificationTime()))
+                elif recursive:
+                    folders.append(s.getPath())
         return found
 
     def read(self, path: str) -> str:
