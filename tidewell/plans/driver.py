@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import quality
 from tidewell.functions.contract import CONCURRENCY_KEY, EVENT_TYPES, LIFECYCLE_KEY, SESSION_STATES
-from tidewell.functions.scalars import ExpandingWindow
+from tidewell.functions.scalars import ExpandingWindow, rating_or_default
 from tidewell.operators import envelope, gold, layout, matchmaking, merge, sessions
+from tidewell.operators.percentile import percentiles
 from tidewell.operators.ranking import group_rank
 from tidewell.options import BRONZE, CONCURRENCY, DURATION, FUNNEL, LIFECYCLE, QUARANTINE, SILVER, Drive, LakeOptions
 from tidewell.plans.catalog import PACK, layout_queries
@@ -221,6 +222,14 @@ def approx_distinct_sessions(spark, sf_dir):
     return gold.concurrency(good_events(spark, sf_dir), "1 day")
 
 
+@query("approx_within_error", f"{_BASE} SELECT region, count(DISTINCT session_code) AS exact_sessions, true AS within FROM good GROUP BY 1")
+def approx_within_error(spark, sf_dir):
+    """The sketch count of the rollups is within four standard errors (of 5 %) of the exact one."""
+    good = good_events(spark, sf_dir)
+    counts = good.groupBy("region").agg(F.approx_count_distinct("session_code").alias("near"), F.countDistinct("session_code").alias("exact_sessions"))
+    return counts.select("region", "exact_sessions", (F.abs(F.col("near") - F.col("exact_sessions")) <= 0.2 * F.col("exact_sessions")).alias("within"))
+
+
 # Quality and parsing
 
 
@@ -405,6 +414,34 @@ def fifo_parties(spark, sf_dir):
     return matchmaking.fifo_parties(waiting_players(spark, sf_dir), 4).select("game_id", "region", "player_id", "party", "seat")
 
 
+_SPREADS = f"""WITH {_PLAYERS}, placed AS (SELECT *, row_number() OVER (PARTITION BY game_id, region ORDER BY enqueued_at, player_id) AS place,
+  count(*) OVER (PARTITION BY game_id, region) AS n FROM players),
+spreads AS (SELECT CAST(max(rating) - min(rating) AS INT) AS spread FROM placed WHERE place <= n // 4 * 4 GROUP BY game_id, region, (place - 1) // 4),
+ranked AS (SELECT spread, row_number() OVER (ORDER BY spread) AS place, count(*) OVER () AS n FROM spreads), wanted AS (SELECT unnest([50, 95, 99]) AS percent)"""
+
+
+@query(
+    "party_percentiles",
+    f"""{_SPREADS} SELECT 'nearest' AS rule, percent, spread AS value FROM ranked, wanted WHERE place = greatest(1, least(n, ceil(percent / 100.0::DOUBLE * n)))
+UNION ALL SELECT 'rounded', percent, spread FROM ranked, wanted WHERE place = greatest(1, least(n, round_even(percent / 100.0::DOUBLE * n + 0.5::DOUBLE, 0)))""",
+)
+def party_percentiles(spark, sf_dir):
+    """Rating spread of the parties at the usual percentiles, by both rules of rank."""
+    spreads = matchmaking.party_quality(matchmaking.fifo_parties(_rated(spark, sf_dir), 4))
+    both = [percentiles(spreads, "spread", (50, 95, 99), rule).select(F.lit(rule).alias("rule"), "percent", "value") for rule in ("nearest", "rounded")]
+    return both[0].unionAll(both[1])
+
+
+@query("party_mean", f"{_SPREADS} SELECT count(*) AS parties, round(avg(spread), 4) AS mean_spread FROM spreads")
+def party_mean(spark, sf_dir):
+    spreads = matchmaking.party_quality(matchmaking.fifo_parties(_rated(spark, sf_dir), 4))
+    return spreads.agg(F.count(F.lit(1)).alias("parties"), F.round(F.avg("spread"), 4).alias("mean_spread"))
+
+
+def _rated(spark, sf_dir) -> DataFrame:
+    return waiting_players(spark, sf_dir).withColumn("rating", rating_or_default(F.col("rating")))
+
+
 @query("match_drain")
 def match_drain(spark, sf_dir):
     from datetime import datetime
@@ -524,6 +561,40 @@ def table_optimized(spark, sf_dir):
     return table.read().select("event_id", "session_code", "game_id")
 
 
+@query(
+    "table_history",
+    f"""{_BASE} SELECT * FROM (SELECT 0 AS version, 'CREATE' AS operation, 0 AS row_count UNION ALL SELECT 1, 'APPEND', count(*) FROM good WHERE n % 2 = 0
+UNION ALL SELECT 2, 'APPEND', count(*) FROM good UNION ALL SELECT 3, 'OPTIMIZE ZORDER BY (game_id, session_code)', count(*) FROM good)""",
+)
+def table_history(spark, sf_dir):
+    """Versions with their operations and rows; a batch that is committed twice counts once."""
+    return _compacted(spark, sf_dir)[0].history().select("version", "operation", "row_count")
+
+
+@query(
+    "table_detail",
+    f"""{_BASE}, days AS (SELECT count(DISTINCT CAST(event_time AS DATE)) AS days FROM good)
+SELECT (SELECT count(*) FROM good) AS rows, 'event_date' AS partition_by, true AS few_after_appends, true AS few_after_optimize, true AS smaller FROM days""",
+)
+def table_detail(spark, sf_dir):
+    """A commit adds at most a file per partition; compaction leaves about one per partition, and fewer bytes."""
+    table, before = _compacted(spark, sf_dir)
+    after = table.detail()
+    days = table.read().select("event_date").distinct().count()
+    row = (after.rows, ",".join(after.partition_by), before.files <= 2 * days, after.files <= 2 * days and after.files <= before.files, after.bytes < before.bytes)
+    return spark.createDataFrame([row], "rows long, partition_by string, few_after_appends boolean, few_after_optimize boolean, smaller boolean")
+
+
+def _compacted(spark, sf_dir):
+    events = good_events(spark, sf_dir).withColumn("event_date", F.to_date("event_time"))
+    table = _lake_table(spark, sf_dir)
+    for part in (0, 1, 1):
+        table.append(events.where(F.col("n") % 2 == part).drop("n"), txn=("history", part))
+    before = table.detail()
+    table.optimize(["game_id", "session_code"])
+    return table, before
+
+
 @query("z_order_rows", f"{_BASE} SELECT event_id FROM good")
 def z_order_rows(spark, sf_dir):
     return layout.z_ordered(good_events(spark, sf_dir), ["game_id", "session_code"], 8).select("event_id")
