@@ -39,6 +39,8 @@ NOTHING = -(1 << 63)
 BLOCK_QUERIES, BLOCK_ROWS = 512, 2048
 #: Candidates of the greatest bounds of a block that are worked out first.
 BEST = 128
+#: Blocks in which that is done; later ones start from the scores of these.
+EARLY = 2
 #: Below this share of pairs alive, bounds are worked out pair by pair.
 SPARSE = 0.05
 #: A level rests for so many blocks once it pruned less than this part of what it costs.
@@ -62,18 +64,29 @@ def segment_stats(x: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack([mean, dev]) * np.sqrt(np.tile(length, 2))
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of the rows of two integer matrices, pair by pair; beyond a long they are its limit."""
-    if not len(a):
-        return np.zeros(0, np.int64)
-    most = float(np.abs(a.astype(np.float64)).max()) * float(np.abs(b.astype(np.float64)).max()) * a.shape[1]
-    if most < 2**53:
-        return np.einsum("ij,ij->i", a.astype(np.float64), b.astype(np.float64)).astype(np.int64)
-    if most < 2**62:
-        return np.einsum("ij,ij->i", a, b)
-    info = np.iinfo(np.int64)
-    whole = (a.astype(object) * b.astype(object)).sum(axis=1)
-    return np.array([min(max(x, info.min + 1), info.max) for x in whole], np.int64)
+class Exact:
+    """Integer vectors with what exact products need: themselves, as floats, and their largest size."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.whole = vectors.astype(np.int64, copy=False)
+        self.floats = self.whole.astype(np.float64)
+        self.most = float(np.abs(self.floats).max(initial=0.0))
+
+    def products(self, q: np.ndarray, other: Exact, c: np.ndarray) -> np.ndarray:
+        """Inner products of vectors ``q`` with the other's ``c``, pair by pair; beyond a long they are its limit."""
+        out = np.empty(len(q), np.int64)
+        most = self.most * other.most * self.whole.shape[1]
+        for a in range(0, len(q), 16384):
+            i, j = q[a : a + 16384], c[a : a + 16384]
+            if most < 2**53:
+                out[a : a + 16384] = np.einsum("ij,ij->i", self.floats[i], other.floats[j])
+            elif most < 2**62:
+                out[a : a + 16384] = np.einsum("ij,ij->i", self.whole[i], other.whole[j])
+            else:
+                info = np.iinfo(np.int64)
+                whole = (self.whole[i].astype(object) * other.whole[j].astype(object)).sum(axis=1)
+                out[a : a + 16384] = [min(max(x, info.min + 1), info.max) for x in whole]
+        return out
 
 
 class QueryBlock:
@@ -81,8 +94,9 @@ class QueryBlock:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS):
         self.ids, self.k = ids, k
-        self.exact = vectors.astype(np.int64)
-        x = vectors.astype(np.float64)
+        self.exact = Exact(vectors)
+        x = self.exact.floats
+        self.met = 0
         self.levels = [n for n in levels if n < x.shape[1]]
         self.stats = {n: segment_stats(x, n) for n in self.levels}
         # Pairs that each level was asked for and that it pruned, how long it is left out, and exact products.
@@ -103,23 +117,24 @@ class QueryBlock:
             return
         for a in range(0, n, 64):
             q, c = (v.ravel() for v in np.meshgrid(np.arange(a, min(n, a + 64)), np.arange(n), indexing="ij"))
-            got = products(self.exact[q], self.exact[c]).reshape(-1, n)
+            got = self.exact.products(q, self.exact, c).reshape(-1, n)
             got[np.arange(len(got)), np.arange(a, a + len(got))] = NOTHING
             self.reach[a : a + len(got)] = np.partition(got, n - self.k, axis=1)[:, n - self.k]
 
-    def _raise(self, bound: np.ndarray, exact: np.ndarray) -> None:
+    def _raise(self, bound: np.ndarray, exact: Exact) -> None:
         """Work out the candidates of the greatest bounds first; their k-th best score is in reach of every query."""
         c = np.argpartition(bound, -BEST, axis=1)[:, -BEST:]
         q, at = np.nonzero(np.take_along_axis(bound, c, axis=1) >= self.reach.astype(np.float64)[:, None])
         got = np.full(c.shape, NOTHING)
-        got[q, at] = products(self.exact[q], exact[c[q, at]])
+        got[q, at] = self.exact.products(q, exact, c[q, at])
         self.computed += len(q)
         if self.k <= BEST:
             self.reach = np.maximum(self.reach, np.sort(got, axis=1)[:, -self.k])
 
     def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        exact = vectors.astype(np.int64)
-        x = vectors.astype(np.float64)
+        exact = Exact(vectors)
+        x = exact.floats
+        self.met += 1
         self.reach = np.maximum(self.reach, self.score[:, -1])
         reach = self.reach.astype(np.float64)
         alive = self.ids[:, None] != ids[None, :]
@@ -135,7 +150,7 @@ class QueryBlock:
             slack = 1e-9 * (np.linalg.norm(self.stats[n], axis=1).max(initial=0.0) * np.linalg.norm(theirs, axis=1).max(initial=0.0) + 1)
             if pairs is None:
                 bound = self.stats[n] @ theirs.T + slack
-                if n == self.levels[-1] and len(ids) > BEST:
+                if n == self.levels[-1] and len(ids) > BEST and self.met <= EARLY:
                     self._raise(np.where(alive, bound, -np.inf), exact)
                     reach = self.reach.astype(np.float64)
                 alive &= bound >= reach[:, None]
@@ -155,7 +170,7 @@ class QueryBlock:
         if not len(q):
             return
         self.computed += len(q)
-        got = np.concatenate([products(self.exact[q[a : a + 65536]], exact[c[a : a + 65536]]) for a in range(0, len(q), 65536)])
+        got = self.exact.products(q, exact, c)
         ok = got >= self.reach[q]
         q, c, got = q[ok], c[ok], got[ok]
         # The best of old and new together, ties to the smaller id.
