@@ -442,7 +442,22 @@ def _rated(spark, sf_dir) -> DataFrame:
     return waiting_players(spark, sf_dir).withColumn("rating", rating_or_default(F.col("rating")))
 
 
-@query("match_drain")
+_DRAIN = f"""WITH RECURSIVE {_PLAYERS},
+d AS (
+  SELECT game_id, region, CAST(-1 AS BIGINT) AS party, CAST(0 AS BIGINT) AS wait, list({{'t': enqueued_at, 'p': player_id, 'r': rating}} ORDER BY enqueued_at, player_id) AS waiting,
+         CAST([] AS STRUCT(d INTEGER, r INTEGER, p VARCHAR)[]) AS members
+  FROM players GROUP BY game_id, region
+  UNION ALL
+  SELECT game_id, region, party + 1, wait, [w for w in waiting if NOT list_contains([m.p for m in chosen], w.p)], chosen
+  FROM (SELECT *, list_prepend({{'d': 0, 'r': head.r, 'p': head.p}}, list_sort([{{'d': abs(x.r - head.r), 'r': x.r, 'p': x.p}} for x in waiting
+                 if x.p <> head.p AND abs(x.r - head.r) <= least(600, 100 + 25 * wait)])[1:3]) AS chosen
+        FROM (SELECT game_id, region, party, waiting, waiting[1] AS head, date_diff('second', waiting[1].t, TIMESTAMP '2026-08-27 12:00:00') AS wait FROM d WHERE len(waiting) > 0))
+  WHERE len(chosen) = 4),
+seats AS (SELECT game_id, region, party, wait, members, unnest([1, 2, 3, 4]) AS seat FROM d WHERE party >= 0)
+SELECT game_id, region, party, CAST(seat AS INT) AS seat, members[seat].p AS player_id, members[seat].r AS rating, wait AS anchor_wait_seconds FROM seats"""
+
+
+@query("match_drain", _DRAIN)
 def match_drain(spark, sf_dir):
     from datetime import datetime
 
@@ -498,14 +513,37 @@ def session_gauges(spark, sf_dir):
     return sessions.gauges(live_sessions(spark, sf_dir))
 
 
-@query("session_fold")
+# A player set, a host and a state per session, moved on by one command at a time.
+_FOLD = """WITH RECURSIVE commands AS (
+  SELECT concat('S', CAST(user_id AS VARCHAR)) AS session_code, event_id AS seq, concat('p', CAST(event_id % 6 AS VARCHAR)) AS player,
+         CASE event_type WHEN 'click' THEN 'join' WHEN 'error' THEN 'leave' WHEN 'view' THEN 'start' WHEN 'signup' THEN 'create' ELSE 'terminate' END AS command,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+  FROM events),
+fold AS (
+  SELECT session_code, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BOOLEAN) AS accepted, CAST(NULL AS VARCHAR) AS state, CAST([] AS VARCHAR[]) AS players, CAST(NULL AS VARCHAR) AS host
+  FROM commands WHERE n = 1
+  UNION ALL
+  SELECT session_code, n, seq, ok,
+         CASE WHEN NOT ok THEN state WHEN command = 'create' THEN 'WAITING' WHEN command = 'start' THEN 'ACTIVE' WHEN command = 'terminate' OR len(after) = 0 THEN 'TERMINATED'
+              WHEN command = 'join' AND state = 'WAITING' AND len(after) >= 2 THEN 'STARTING' WHEN command = 'leave' AND state = 'STARTING' AND len(after) < 2 THEN 'WAITING' ELSE state END,
+         CASE WHEN ok THEN after ELSE players END,
+         CASE WHEN NOT ok THEN host WHEN command = 'create' THEN player WHEN command = 'leave' AND host = player AND len(after) > 0 THEN after[1] ELSE host END
+  FROM (SELECT c.session_code, c.n, c.seq, c.command, c.player, f.state, f.players, f.host,
+               CASE c.command WHEN 'create' THEN [c.player] WHEN 'join' THEN list_append(f.players, c.player) WHEN 'leave' THEN [x for x in f.players if x <> c.player] ELSE f.players END AS after,
+               coalesce(CASE c.command WHEN 'create' THEN f.state IS NULL WHEN 'join' THEN f.state IN ('WAITING', 'STARTING', 'ACTIVE') AND len(f.players) < 4 AND NOT list_contains(f.players, c.player)
+                        WHEN 'leave' THEN list_contains(f.players, c.player) WHEN 'start' THEN f.host = c.player AND len(f.players) >= 2 ELSE f.host = c.player END, FALSE) AS ok
+        FROM fold f JOIN commands c ON c.session_code = f.session_code AND c.n = f.n + 1))
+SELECT session_code, seq, accepted, state, CASE WHEN state IS NOT NULL THEN CAST(len(players) AS INT) END AS player_count, host AS host_player_id FROM fold WHERE n > 0"""
+
+
+@query("session_fold", _FOLD)
 def session_fold(spark, sf_dir):
     """Commands from the event table, played through the state machine."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     kinds = "CASE event_type WHEN 'click' THEN 'join' WHEN 'error' THEN 'leave' WHEN 'view' THEN 'start' WHEN 'signup' THEN 'create' ELSE 'terminate' END"
     commands = e.selectExpr(
-        "concat('S', CAST(user_id AS STRING), '-', CAST(CAST(ts AS DATE) AS STRING)) AS session_code", "event_id AS seq", "ts AS at", f"{kinds} AS command",
-        "concat('p', CAST(event_id % 3 AS STRING)) AS player_id", "'g' AS game_id", "'r' AS region", "4 AS max_players", "2 AS min_players_to_start",
+        "concat('S', CAST(user_id AS STRING)) AS session_code", "event_id AS seq", "ts AS at", f"{kinds} AS command",
+        "concat('p', CAST(event_id % 6 AS STRING)) AS player_id", "'g' AS game_id", "'r' AS region", "4 AS max_players", "2 AS min_players_to_start",
     )
     return sessions.play(commands).select("session_code", "seq", "accepted", "state", "player_count", "host_player_id")
 
@@ -641,3 +679,28 @@ def generated_sessions(spark, sf_dir):
 
     lines = generated(spark, 500, datetime(2026, 8, 27, 9, tzinfo=UTC))
     return envelope.parse(lines, keep=()).select("event_id", "event_type", "session_code", "player_count", "session_state")
+
+
+@query(
+    "generated_lives",
+    """SELECT concat('S', lpad(CAST(n AS VARCHAR), 7, '0')) AS session_code, TRUE AS one_creation_first, TRUE AS one_end_last, TRUE AS joins_add_one, TRUE AS starts_with_two, TRUE AS times_rise FROM range(2000) AS t(n)""",
+)
+def generated_lives(spark, sf_dir):
+    """What holds for the life of every generated session."""
+    from datetime import UTC, datetime
+
+    from tidewell.operators.generate import generated
+
+    lines = generated(spark, 2000, datetime(2026, 8, 27, 9, tzinfo=UTC))
+    beats = F.array_sort(F.collect_list(F.struct("beat", "event_type", "event_time", "player_count")))
+    lives = envelope.parse(lines, keep=("beat",)).groupBy("session_code").agg(beats.alias("b"))
+    kinds = "transform(b, x -> x.event_type)"
+    of = "filter({}, x -> x = '{}')".format
+    return lives.selectExpr(
+        "session_code",
+        f"{kinds}[0] = 'SESSION_CREATED' AND size({of(kinds, 'SESSION_CREATED')}) = 1 AS one_creation_first",
+        f"element_at({kinds}, -1) = 'SESSION_TERMINATED' AND size({of(kinds, 'SESSION_TERMINATED')}) = 1 AS one_end_last",
+        "forall(transform(b, (x, i) -> x.player_count = if(i = 0, 1, b[i - 1].player_count + int(x.event_type = 'PLAYER_JOINED'))), x -> x) AND forall(b, x -> x.player_count BETWEEN 1 AND 4) AS joins_add_one",
+        f"size({of(kinds, 'SESSION_STARTED')}) <= 1 AND forall(b, x -> x.event_type <> 'SESSION_STARTED' OR x.player_count >= 2) AS starts_with_two",
+        "forall(transform(b, (x, i) -> i = 0 OR x.event_time > b[i - 1].event_time), x -> x) AS times_rise",
+    )
