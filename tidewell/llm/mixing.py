@@ -25,8 +25,8 @@ from tidewell.llm.common import checkpointed, free_name, stored, word_count
 
 #: With more sources than this the plan is joined by a shuffle instead of being broadcast.
 BROADCAST_SOURCES = 10_000
-#: Hex digits of the order key that each level of the descent adds, and the levels.
-DIGITS, LEVELS = 3, 2
+#: Hex digits of the order key that each level of the descent adds, and the levels: a source's window sees 256 cells at most.
+DIGITS, LEVELS = 2, 4
 
 
 def order_key(seed: int, doc_id: Column, text: Column) -> Column:
