@@ -220,7 +220,10 @@ def score(docs: DataFrame, model: AdditiveModel, text: str = "text", doc_id: str
 
 
 def good_documents(docs: DataFrame, model: AdditiveModel, text: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text reaches the threshold."""
+    """The rows, with all their columns, whose text reaches the threshold.
+
+    Null and empty texts are scored as texts without words; repeated rows share one fate.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(next(c for c in docs.columns if c.lower() == text.lower()))
 

@@ -25,6 +25,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,13 +63,15 @@ def words_of(text: str | None) -> list[str]:
 
 def _windows(words: list[str]) -> tuple[list[str], np.ndarray]:
     """Words, marked at their start, cut to windows, and the word each window is of."""
-    out, of = [], []
-    for k, w in enumerate(words):
-        w = START + w
-        for a in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2) if len(w) > WINDOW else (0,):
-            out.append(w[a : a + WINDOW])
-            of.append(k)
-    return out, np.array(of, np.int64)
+    out = [START + w for w in words]
+    of = np.arange(len(out))
+    long = [k for k, w in enumerate(out) if len(w) > WINDOW]
+    if long:
+        cuts = [(k, out[k][a : a + WINDOW]) for k in long for a in range(0, max(1, len(out[k]) - WINDOW // 2), WINDOW // 2)]
+        short = np.delete(of, long)
+        out = [out[k] for k in short.tolist()] + [c for _, c in cuts]
+        of = np.r_[short, [k for k, _ in cuts]]
+    return out, of
 
 
 class LandmarkKernel:
@@ -102,19 +105,18 @@ class LandmarkKernel:
 
     def _kernel(self, s: np.ndarray, t: np.ndarray) -> np.ndarray:
         """Subsequence kernels of paired rows; code 0 matches nothing."""
-        n, a, b, lam = len(s), s.shape[1], t.shape[1], self.decay
-        prev = np.ones((n, a + 1, b + 1))
+        a, b, lam = s.shape[1], t.shape[1], self.decay
+        match = lam * lam * ((s.T[:, :, None] == t[None]) & (s.T[:, :, None] > 0))
+        # Discounts of the gaps along t; those along s are added up row by row.
+        gaps = np.triu(lam ** np.maximum(np.arange(b)[None] - np.arange(b)[:, None], 0.0))
+        found = match
         for _ in range(1, self.order):
-            cur = np.zeros((n, a + 1, b + 1))
-            for i in range(1, a + 1):
-                run = np.zeros(n)
-                for j in range(1, b + 1):
-                    match = (s[:, i - 1] == t[:, j - 1]) & (s[:, i - 1] > 0)
-                    run = lam * run + np.where(match, lam * lam * prev[:, i - 1, j - 1], 0)
-                    cur[:, i, j] = lam * cur[:, i - 1, j] + run
-            prev = cur
-        match = (s[:, :, None] == t[:, None, :]) & (s[:, :, None] > 0)
-        return lam * lam * np.where(match, prev[:, :a, :b], 0).sum(axis=(1, 2))
+            ends = (found.reshape(-1, b) @ gaps).reshape(found.shape)
+            for i in range(1, a):
+                ends[i] += lam * ends[i - 1]
+            found = np.zeros_like(match)
+            np.multiply(match[1:, :, 1:], ends[:-1, :, :-1], out=found[1:, :, 1:])
+        return found.sum(axis=(0, 2))
 
     def values(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sparse kernel values over the landmark's value with itself: word, landmark, value.
@@ -137,11 +139,13 @@ class LandmarkKernel:
                 v = (v + u) | (v - u)
             common = np.bitwise_count(~v)
             w, z = np.nonzero(common >= self.need)
+            shortest = np.argsort(self.lengths[z], kind="stable")
+            w, z = w[shortest], z[shortest]
             covered = common[w, z] / self.lengths[z]
-            for a in range(0, len(w), 4096):
-                wi, zi = w[a : a + 4096], z[a : a + 4096]
-                like = self._kernel(code[wi], self.z[zi]) / self.own[zi]
-                out.append((of[part[wi]], zi, np.minimum(like, covered[a : a + 4096])))
+            for a in range(0, len(w), 1024):
+                wi, zi = w[a : a + 1024], z[a : a + 1024]
+                like = self._kernel(code[wi], self.z[zi, : self.lengths[zi[-1]]]) / self.own[zi]
+                out.append((of[part[wi]], zi, np.minimum(like, covered[a : a + 1024])))
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -157,52 +161,61 @@ class ToxicityModel:
     scale: np.ndarray  # logistic weights of a document's evidence, the constant last
 
     def __post_init__(self):
-        self._memo: dict[str, np.ndarray | None] = {}
+        self._forget()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_memo"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_memo", "_rows")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self._memo = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start with no words: ``_memo`` has twice a word's row in ``_rows``, and 1 more if it ends a sentence; row 0 is empty."""
+        self._memo: dict[str, int] = {}
+        self._rows = np.zeros((1, len(self.kernel.landmarks)))
 
     def learn_words(self, fresh: set[str]) -> None:
         """Add the kernel rows of words not met before; most have none."""
         new = [w for w in fresh if w not in self._memo]
         if len(self._memo) + len(new) > _MEMO_MOST:
-            self._memo = {}
+            self._forget()
             new = list(fresh)
-        self._memo.update(dict.fromkeys(new))
         word, mark, value = self.kernel.values(new)
-        for w in np.unique(word):
-            self._memo[new[w]] = np.zeros(len(self.kernel.landmarks))
-        for w, z, x in zip(word.tolist(), mark.tolist(), value.tolist(), strict=True):
-            row = self._memo[new[w]]
-            row[z] = max(row[z], x**SHARPNESS)
-
-    def sentences(self, tokens: list[str]) -> np.ndarray:
-        """Kernel maxima of the sentences in which a word takes part; one empty row if none does."""
-        memo = self._memo
-        rows: dict[int, np.ndarray] = {}
-        marked = {w for w in set(tokens) if memo[w] is not None}
-        if marked:
-            sentence, began, last = 0, 0, 0
-            for at in [k for k, w in enumerate(tokens) if w in marked]:
-                ends = [k for k in range(last, at) if tokens[k][-1] in ".!?"]
-                last = at
-                if ends:
-                    sentence, began = sentence + 1, ends[-1] + 1
-                if at - began >= SENTENCE_WORDS:
-                    sentence, began = sentence + 1, at
-                row = memo[tokens[at]]
-                rows[sentence] = np.maximum(rows[sentence], row) if sentence in rows else row
-        return np.array(list(rows.values())) if rows else np.zeros((1, len(self.kernel.landmarks)))
+        marked, at = np.unique(word, return_inverse=True)
+        rows = np.zeros((len(marked), self._rows.shape[1]))
+        np.maximum.at(rows, (at, mark), value**SHARPNESS)
+        place = np.zeros(len(new), np.int64)
+        place[marked] = 2 * (len(self._rows) + np.arange(len(marked)))
+        self._rows = np.vstack([self._rows, rows])
+        place += np.fromiter((w[-1] in ".!?" for w in new), bool, len(new))
+        self._memo.update(zip(new, place.tolist(), strict=True))
 
     def features(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Each text's sentences and its number of words."""
+        """Each text's sentences in which a word takes part, as kernel maxima, and its number of words.
+
+        A text without such a sentence has one empty row.
+        """
         tokens = [words_of(t) for t in texts]
         self.learn_words(set().union(*tokens))
-        return [self.sentences(t) for t in tokens], np.array([len(t) for t in tokens], float)
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        code = np.fromiter(map(self._memo.__getitem__, chain.from_iterable(tokens)), np.int64, sizes.sum())
+        first = np.zeros(len(code), bool)
+        first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        first[1:] |= code[:-1] % 2 == 1
+        at = np.flatnonzero(code > 1)
+        began = np.maximum.accumulate(np.where(first, np.arange(len(code)), 0))[at]
+        new = np.r_[True, began[1:] != began[:-1]][: len(at)]
+        # Sentences without an end are cut where a word that takes part stands too far from their start.
+        sentence, start = -1, 0
+        for k in np.flatnonzero(at - began >= SENTENCE_WORDS).tolist():
+            if began[k] != sentence or at[k] - start >= SENTENCE_WORDS:
+                sentence, start, new[k] = began[k], at[k], True
+        heads = np.flatnonzero(new)
+        maxima = np.maximum.reduceat(self._rows[code[at] // 2], heads) if len(heads) else self._rows[:0]
+        per_text = np.bincount(np.repeat(np.arange(len(tokens)), sizes)[at[heads]], minlength=len(tokens))
+        bags = np.split(maxima, np.cumsum(per_text)[:-1])
+        return [b if len(b) else self._rows[:1] for b in bags], sizes.astype(float)
 
     def evidence(self, bags: list[np.ndarray], words: np.ndarray) -> np.ndarray:
         """Of each text: the worst sentence, all sentences together, these by length, and 1."""
@@ -373,7 +386,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text scores below one half."""
+    """The rows, with all their columns, whose text scores below one half.
+
+    Null and empty texts are scored as texts without words; repeated rows share one fate.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(next(c for c in docs.columns if c.lower() == text.lower()))
 
