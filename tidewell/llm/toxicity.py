@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import held_out, in_small_batches
+from tidewell.llm.tokens import text_groups
 from tidewell.llm.training import labelled_sample
 
 #: Labelled rows that a fit uses at most.
@@ -196,6 +197,11 @@ class ToxicityModel:
 
         A text without such a sentence has one empty row.
         """
+        found = [self._sentences(texts[a:b]) for a, b in text_groups(texts)]
+        return [bag for bags, _ in found for bag in bags], np.concatenate([sizes for _, sizes in found] or [np.zeros(0)])
+
+    def _sentences(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The same of a few texts, whose words are held all at once."""
         tokens = [words_of(t) for t in texts]
         self.learn_words(set().union(*tokens))
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
@@ -370,8 +376,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", doc_id: str
     def run(batches):
         mine = shared.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            s = np.concatenate([mine.scores(texts[a : a + 500]) for a in range(0, len(texts), 500)]) if texts else np.zeros(0)
+            s = mine.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
@@ -396,8 +401,6 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
     def run(batches):
         mine = shared.value
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            keep = [s < 0.5 for a in range(0, len(texts), 500) for s in mine.scores(texts[a : a + 500])]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(mine.scores(batch.column(at).to_pylist()) < 0.5))
 
     return in_small_batches(docs).mapInArrow(run, docs.schema)
