@@ -138,6 +138,15 @@ def test_ranks_of_a_hot_group(spark):
     assert bad.count() == 0
 
 
+def test_ranks_beside_clashing_names(spark):
+    clash = ("range_id", "own_rank", "range_size", "earlier", "Rank", "right_k")
+    df = spark.range(200).select((F.col("id") % 3).alias("k"), F.xxhash64("id").alias("o"), *[F.lit("x").alias(c) for c in clash])
+    got = group_rank(df, ["k"], ["o"])
+    assert got.columns == ["k", "o", *(c for c in clash if c != "Rank"), "rank"]
+    assert got.selectExpr("*", "row_number() OVER (PARTITION BY k ORDER BY o) AS want").where("rank = want and earlier = 'x'").count() == 200
+    assert group_rank(df.limit(0), ["k"], ["o"]).count() == 0
+
+
 def test_window_policy():
     w = ExpandingWindow()
     assert [w.width(s) for s in (-5, 0, 0.9, 1, 20, 100)] == [100, 100, 100, 125, 600, 600]

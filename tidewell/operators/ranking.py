@@ -12,13 +12,19 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one the cluster names, or a temporary one in its absence."""
+    """The folder that driver and executors share, as the cluster names it.
+
+    A session on one machine that names none gets a temporary folder; on a cluster
+    that is an error, since executors would not see it.
+    """
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tidewell-")
         atexit.register(shutil.rmtree, where, True)
     sc.setCheckpointDir(where)
@@ -37,17 +43,22 @@ def group_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     Rows are dealt out in ranges of (keys, order), ranked within their range, and
     shifted by what the group has in earlier ranges.  A group of any size is
     spread over tasks; the only table that is summed up across ranges has a row
-    per group and range.
+    per group and range.  A column that has the rank's name already is replaced.
     """
-    spread = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("__range", F.spark_partition_id())
-    spread = settled(spread)
-    sizes = spread.groupBy("__range", *keys).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range")) - F.col("__n")
-    sizes = sizes.select(F.col("__range").alias("__r"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], before.alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__range", *keys).orderBy(*order))
-    ranked = spread.withColumn("__own", own)
-    match = ranked["__range"] == sizes["__r"]
-    for i, k in enumerate(keys):
-        match &= ranked[k].eqNullSafe(sizes[f"__k{i}"])
-    out = ranked.join(sizes, match).withColumn(name, (F.col("__own") + F.col("__before")).cast("long"))
-    return out.select(*df.columns, name)
+    part, own, size, before = (_free(df, c) for c in ("range_id", "own_rank", "range_size", "earlier"))
+    spread = settled(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(part, F.spark_partition_id()))
+    sizes = spread.groupBy(part, *keys).agg(F.count(F.lit(1)).alias(size))
+    sizes = sizes.withColumn(before, F.sum(size).over(Window.partitionBy(*keys).orderBy(part)) - F.col(size))
+    sizes = sizes.select(*[F.col(c).alias(f"right_{c}") for c in (part, *keys)], before)
+    ranked = spread.withColumn(own, F.row_number().over(Window.partitionBy(part, *keys).orderBy(*order)))
+    match = F.lit(True)
+    for c in (part, *keys):
+        match &= ranked[c].eqNullSafe(sizes[f"right_{c}"])
+    rank = (ranked[own] + sizes[before]).cast("long").alias(name)
+    return ranked.join(sizes, match).select(*[ranked[c] for c in df.columns if c.lower() != name.lower()], rank)
+
+
+def _free(df: DataFrame, stem: str) -> str:
+    """A name that no column of the frame has."""
+    taken = {c.lower() for c in df.columns}
+    return next(name for name in (stem + "_" * k for k in range(len(taken) + 1)) if name.lower() not in taken)
