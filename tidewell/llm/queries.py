@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.common import table
+from tidewell.llm.rules import STOP_WORDS
 
 VOCAB = "byte_bpe_50k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +169,43 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.chat import reply_ordered
 
     return reply_ordered(table(spark, sf_dir, "conversations"))
+
+
+#: The thresholds stand here a second time, as numbers.
+OP11_SQL = r"""
+WITH body AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+parts AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS x
+  FROM body),
+windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS times
+  FROM (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM parts))),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, (SELECT unnest([0, 1, 2]) AS k) WHERE times > 1 GROUP BY doc_id),
+counts AS (
+  SELECT p.doc_id, len(w)::BIGINT AS n_words, list_sum(list_transform(w, lambda v: length(v)))::BIGINT AS chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(x) - len(list_distinct(x)))::BIGINT AS n_dup_lines,
+         coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(x)::BIGINT AS n_lines, len(regexp_extract_all(t, '!')) AS bangs,
+         len(list_filter(w, lambda v: lower(v) <> upper(v))) AS lettered,
+         len(list_filter(w, lambda v: upper(v) = v AND lower(v) <> v AND length(v) > 1)) AS uppers,
+         len(list_filter(w, lambda v: list_contains([{stop_words}], lower(v)))) AS stops,
+         len(list_filter(x, lambda v: regexp_matches(v, '^ *[-*•‣·]'))) AS bullets,
+         len(list_filter(x, lambda v: regexp_matches(v, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS ellipses
+  FROM parts p LEFT JOIN covered c ON p.doc_id = c.doc_id)
+SELECT doc_id, n_words, coalesce(chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+         AND chars BETWEEN 2 * n_words AND 14 * n_words AND 10 * n_symbols <= n_words AND 10 * bangs <= 3 * n_words AND 10 * lettered >= 7 * n_words
+         AND 2 * uppers <= n_words AND stops >= 2 AND 50 * stops >= n_words
+         AND 10 * bullets <= 9 * n_lines AND 10 * ellipses <= 3 * n_lines AND 2 * n_dup_lines <= n_lines AS kept
+FROM counts
+"""
+
+
+@query("op11_quality_rules", OP11_SQL.replace("{stop_words}", ", ".join(f"'{w}'" for w in STOP_WORDS)))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.rules import judged
+
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged(table(spark, sf_dir, "documents")).select(*columns)
