@@ -209,3 +209,41 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judged(table(spark, sf_dir, "documents")).select(*columns)
+
+
+OP12_SQL = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id::VARCHAR) AS h FROM documents),
+numbers AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b,
+         ('0x' || h[17:24])::BIGINT % 100 AS c, ('0x' || h[25:32])::BIGINT % 100 AS d
+  FROM drawn),
+formed AS (
+  SELECT *, least(a, b) AS one, greatest(a, b) AS two,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain' WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers),
+parts AS (SELECT *, left(t, one) AS p, substr(t, one + 1, two - one) AS m, substr(t, two + 1) AS s FROM formed)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN one::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN (two - one)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+@query("op12_fill_in_middle", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidewell.llm.infill import infilled, restored
+
+    hashed = lambda c: F.sha2(c.cast("binary"), 256)
+    made = infilled(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        F.col("prefix_units").alias("prefix_chars"),
+        F.col("middle_units").alias("middle_chars"),
+        hashed(F.col("output")).alias("output_sha256"),
+        hashed(restored(F.col("form"), F.col("output"))).alias("restored_sha256"),
+    )
