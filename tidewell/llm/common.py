@@ -89,6 +89,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def drawn_numbers(doc_id: Column, seed: int) -> list[Column]:
+    """Four numbers of 32 bits that a seed and an id give; a null id counts as an empty one."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)
+    return [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)]
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of the frame clashes with."""
     taken = {c.lower() for c in df.columns}

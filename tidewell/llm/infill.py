@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import in_small_batches
+from tidewell.llm.common import drawn_numbers, in_small_batches
 
 #: A class is three bits: a character, a word, a line begins here.
 CHARACTER, WORD_START, LINE_START = 1, 2, 4
@@ -137,12 +137,6 @@ def _cutter(unit: str) -> Callable[[Column, Column, Column], Column]:
     return cut
 
 
-def draws(doc_id: Column, seed: int = 1) -> list[Column]:
-    """Four numbers of 32 bits that a seed and an id give; a null id counts as an empty one."""
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)
-    return [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)]
-
-
 def joined(form: Column, text: Column, prefix: Column, middle: Column, suffix: Column, markers: tuple[str, str, str] = MARKERS) -> Column:
     """The text in its form: prefix, suffix, middle; or suffix, prefix, middle; or plain."""
     p, s, m = map(F.lit, markers)
@@ -187,7 +181,7 @@ def infilled(
         raise ValueError(f"no such unit: {unit}")
     if len(set(markers)) < 3 or any(_overlaps(x, y) for x in markers for y in markers):
         raise ValueError("markers must differ, be none of them within another, and end in nothing that one of them begins with")
-    h1, h2, h3, h4 = draws(F.col(doc_id), seed)
+    h1, h2, h3, h4 = drawn_numbers(F.col(doc_id), seed)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = in_small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), h1.alias("h1"), h2.alias("h2"), h3.alias("h3"), h4.alias("h4"))
     rows = rows.withColumn("cut", _cutter(unit)(F.col("text").cast("binary"), F.col("h1"), F.col("h2")))

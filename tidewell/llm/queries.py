@@ -247,3 +247,11 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         hashed(F.col("output")).alias("output_sha256"),
         hashed(restored(F.col("form"), F.col("output"))).alias("restored_sha256"),
     )
+
+
+@query("op13_importance_resampling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.importance import resampled
+
+    made = resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return made.select("doc_id", "n_features", "weight", "score", "rank")
