@@ -62,6 +62,10 @@ _COLUMNS = {
 _EV = "ev AS (SELECT " + ", ".join(f"{v.format(text='VARCHAR')} AS {k}" for k, v in _COLUMNS.items()) + ", event_id AS n FROM events)"
 
 
+#: The session events as a common table expression; and with the value that the event table has for them.
+sql_events = f"{_EV}, timed AS (SELECT ev.*, e.value FROM ev JOIN events e ON ev.n = e.event_id)"
+
+
 def _in(values: tuple[str, ...]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
