@@ -83,6 +83,12 @@ class ExpandingWindow:
     def width_column(self, seconds: Column) -> Column:
         return F.least(F.lit(self.cap), self.start + self.per_second * F.greatest(F.lit(0), F.floor(seconds))).cast("int")
 
+    def seconds_to(self, width: int) -> int | None:
+        """Whole seconds until the window is so wide; None if it never is."""
+        if width <= self.start:
+            return 0
+        return None if width > self.cap or self.per_second == 0 else -(-(width - self.start) // self.per_second)
+
     def seconds_to_cap(self) -> int | None:
         """Seconds until the cap is reached; None if never."""
         if self.cap == self.start:

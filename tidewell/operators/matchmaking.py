@@ -169,13 +169,17 @@ class Queue:
         both = merge(self._downwards(at, low), self._upwards(at, high), key=lambda x: (abs(x[0] - middle), *x))
         return [p for _, p in islice(both, k)]
 
-    def form(self, size: int, now: datetime, window: ExpandingWindow) -> tuple[list[str], float] | None:
-        """The party around the longest-waiting player, or nothing."""
+    def longest_waiting(self) -> str | None:
         while self.head < len(self.by_time) and self.by_time[self.head][1] not in self.rating:
             self.head += 1
-        if self.head == len(self.by_time):
+        return self.by_time[self.head][1] if self.head < len(self.by_time) else None
+
+    def form(self, size: int, now: datetime, window: ExpandingWindow) -> tuple[list[str], float] | None:
+        """The party around the longest-waiting player, or nothing."""
+        anchor = self.longest_waiting()
+        if anchor is None:
             return None
-        since, anchor = self.by_time[self.head]
+        since = self.since[anchor]
         waited = max(0.0, (now - since).total_seconds())
         width = window.width(waited)
         near = self.nearest(self.rating[anchor] - width, self.rating[anchor] + width, size * CANDIDATES)

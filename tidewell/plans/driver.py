@@ -138,6 +138,9 @@ anchors AS (
          date_diff('second', enqueued_at, TIMESTAMP '2026-08-27 12:00:00') AS wait
   FROM (SELECT *, row_number() OVER (PARTITION BY game_id, region ORDER BY enqueued_at, player_id) AS rn FROM players) WHERE rn = 1)"""
 
+#: The waiting players, and each queue's longest-waiting one, as common table expressions.
+sql_players = _PLAYERS
+
 
 def now() -> Column:
     """The adapter's fixed clock."""
