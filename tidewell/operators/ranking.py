@@ -58,6 +58,24 @@ def group_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     return ranked.join(sizes, match).select(*[ranked[c] for c in df.columns if c.lower() != name.lower()], rank)
 
 
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, name: str) -> DataFrame:
+    """Add the sum of ``value`` over a row and those before it in its group; rows that are equal in order follow each other somehow.
+
+    Spread over tasks as ``group_rank`` is.
+    """
+    part, own, whole, before = (_free(df, c) for c in ("range_id", "own_total", "range_total", "earlier"))
+    spread = settled(df.withColumn(own, value.cast("long")).repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(part, F.spark_partition_id()))
+    totals = spread.groupBy(part, *keys).agg(F.sum(own).alias(whole))
+    totals = totals.withColumn(before, F.sum(whole).over(Window.partitionBy(*keys).orderBy(part)) - F.col(whole))
+    totals = totals.select(*[F.col(c).alias(f"right_{c}") for c in (part, *keys)], before)
+    up_to_here = Window.partitionBy(part, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = spread.withColumn(own, F.sum(own).over(up_to_here))
+    match = F.lit(True)
+    for c in (part, *keys):
+        match &= summed[c].eqNullSafe(totals[f"right_{c}"])
+    return summed.join(totals, match).select(*[summed[c] for c in df.columns if c.lower() != name.lower()], (summed[own] + totals[before]).alias(name))
+
+
 def _free(df: DataFrame, stem: str) -> str:
     """A name that no column of the frame has."""
     taken = {c.lower() for c in df.columns}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import quality
 from tidewell.functions.contract import CONCURRENCY_KEY, EVENT_TYPES, LIFECYCLE_KEY, SESSION_STATES
 from tidewell.functions.scalars import ExpandingWindow, rating_or_default
-from tidewell.operators import envelope, gold, layout, matchmaking, merge, sessions
+from tidewell.operators import envelope, gold, layout, matchmaking, merge, neighbours, sessions
 from tidewell.operators.percentile import percentiles
 from tidewell.operators.ranking import group_rank
 from tidewell.options import BRONZE, CONCURRENCY, DURATION, FUNNEL, LIFECYCLE, QUARANTINE, SILVER, Drive, LakeOptions
@@ -389,6 +389,21 @@ def nearest_k(spark, sf_dir):
     return near.select("game_id", "region", "player_id", "rating", "distance", "place")
 
 
+@query(
+    "nearest_to_all",
+    f"""WITH {_PLAYERS}, reach AS (SELECT *, least(600, 100 + 25 * date_diff('second', enqueued_at, TIMESTAMP '2026-08-27 12:00:00')) AS width FROM players),
+found AS (SELECT a.game_id, a.region, a.player_id AS anchor_id, a.rating AS anchor_rating, p.player_id, p.rating, abs(p.rating - a.rating) AS distance,
+  row_number() OVER (PARTITION BY a.player_id ORDER BY abs(p.rating - a.rating), p.rating, p.player_id) AS place
+  FROM reach a JOIN players p ON a.game_id = p.game_id AND a.region = p.region AND abs(p.rating - a.rating) <= a.width)
+SELECT game_id, region, anchor_id, anchor_rating, player_id, rating, CAST(distance AS INT) AS distance, CAST(place AS INT) AS place FROM found WHERE place <= 12""",
+)
+def nearest_to_all(spark, sf_dir):
+    """The candidates of every waiting player, each within the window that they have waited for."""
+    players = waiting_players(spark, sf_dir)
+    waited = F.unix_seconds(now().cast("timestamp")) - F.unix_seconds(F.col("enqueued_at").cast("timestamp"))
+    return neighbours.nearest_to_all(players, players, 12, ExpandingWindow().width_column(waited))
+
+
 _ATTEMPT = f"""WITH {_PLAYERS}, {_NEAR}, seated AS (
   SELECT *, row_number() OVER (PARTITION BY game_id, region ORDER BY player_id <> anchor_id, distance, rating, player_id) AS seat FROM near WHERE place <= 12)
 SELECT game_id, region, CAST(seat AS INT) AS seat, player_id, rating, CAST(wait AS BIGINT) AS anchor_wait_seconds FROM seated
