@@ -86,6 +86,8 @@ _RULES = {
 _BROKEN = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN NULL ELSE '{n}' END" for n, c in _RULES.items()) + "], lambda x: x IS NOT NULL)"
 _GOOD = "good AS (SELECT * FROM ev WHERE " + " AND ".join(f"coalesce({c}, false)" for c in _RULES.values()) + ")"
 _BASE = f"WITH {_EV}, {_GOOD}"
+#: For the other modules: rules by name, the list of those that a row breaks, and the events that break none.
+sql_rules, sql_broken, sql_base = _RULES, _BROKEN, _BASE
 
 
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +103,11 @@ def good_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The session events as JSON envelopes, every 97th cut short."""
-    e = session_events(spark, sf_dir)
+    return envelopes(session_events(spark, sf_dir))
+
+
+def envelopes(e: DataFrame) -> DataFrame:
+    """Session events as JSON, some with a time that is none, some cut short."""
     time = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     session = F.struct(
         F.col("session_code").alias("sessionCode"), F.col("game_id").alias("gameId"), F.col("region"), F.col("session_state").alias("state"),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.plans.driver import now, query, scratch, sql_players, waiting_players
+from tidewell.operators import partials
+from tidewell.operators.partials import distinct_sessions, uptime_quantile
+from tidewell.options import QUARANTINE, SILVER, Drive, LakeOptions
+from tidewell.plans.driver import envelopes, good_events, now, query, scratch, session_events, sql_base, sql_broken, sql_events, sql_players, sql_rules, waiting_players
+from tidewell.sources.table import LakeTable
 
 #: How long a player waits in ``stream_matchmaker``, and how far its clock is moved on at the end.
 PATIENCE, END = timedelta(minutes=5), timedelta(hours=1)
@@ -52,3 +57,127 @@ def stream_matchmaker(spark: SparkSession, sf_dir: str) -> DataFrame:
         formed.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     found = spark.read.schema(formed.schema).parquet(out)
     return found.select("game_id", "region", "seat", "player_id", "rating", "anchor_wait_seconds", F.unix_millis("formed_at").alias("formed_ms"))
+
+
+# Partial rows
+
+_BY_DAY = """SELECT date_trunc('day', event_time) AS window_start, region, count(DISTINCT session_code) AS active_sessions, sum(player_count)::BIGINT AS player_slot_events,
+  max(player_count) AS peak_session_size, count(*) AS event_count FROM good GROUP BY 1, 2"""
+
+
+@query("sketch_days", f"{sql_base} {_BY_DAY}")
+def sketch_days(spark, sf_dir):
+    """Minutes into hours into days, from partial rows alone; distinct sessions come from sketches that were merged twice."""
+    minutes = partials.partial(good_events(spark, sf_dir))
+    days = partials.concurrency(partials.combined(minutes, window="1 hour"), "1 day")
+    return days.drop("window_end")
+
+
+@query(
+    "sketch_quantiles",
+    f"""{sql_base}, placed AS (SELECT game_id, region, uptime_seconds AS u, row_number() OVER (PARTITION BY game_id, region ORDER BY uptime_seconds) AS rank, count(*) OVER (PARTITION BY game_id, region) AS n
+  FROM good WHERE uptime_seconds IS NOT NULL)
+SELECT game_id, region, any_value(n) AS uptimes, min(u) FILTER (rank >= 0.5 * n) AS p50, min(u) FILTER (rank >= 0.95 * n) AS p95 FROM placed GROUP BY 1, 2""",
+)
+def sketch_quantiles(spark, sf_dir):
+    """Uptimes' quantiles over all days from a sketch per day; exact as long as a game and region have no more values than a sketch has items."""
+    days = partials.combined(partials.partial(good_events(spark, sf_dir), "1 day"))
+    return partials.total(days).select("game_id", "region", F.kll_sketch_get_n_bigint(partials.UPTIMES).alias("uptimes"), uptime_quantile(0.5).alias("p50"), uptime_quantile(0.95).alias("p95"))
+
+
+@query("sketch_sessions", f"{sql_base} SELECT game_id, count(DISTINCT session_code) AS sessions FROM good GROUP BY 1")
+def sketch_sessions(spark, sf_dir):
+    """Sessions of each game over all of time, from the sketches of its minutes."""
+    return partials.total(partials.partial(good_events(spark, sf_dir)), ("game_id",)).select("game_id", distinct_sessions().alias("sessions"))
+
+
+# A lake that is stopped, robbed of its last commits and started again
+
+#: What a line has instead, by number; each breaks one rule alone.
+_PLANTED = {
+    "event_id": "CASE WHEN n % 59 = 0 THEN NULL ELSE event_id END",
+    "event_type": "CASE WHEN n % 71 = 0 THEN 'SESSION_PAUSED' ELSE event_type END",
+    "session_code": "CASE WHEN n % 73 = 0 THEN '' ELSE session_code END",
+    "session_state": "CASE WHEN n % 79 = 0 THEN 'LOST' ELSE session_state END",
+    "player_count": "CASE WHEN n % 67 = 0 THEN -1 WHEN n % 61 = 0 THEN 0 ELSE player_count END",
+    "max_players": "CASE WHEN n % 61 = 0 THEN 0 ELSE max_players END",
+}
+_KEPT = ("event_time", "schema_version", "game_id", "region", "uptime_seconds")
+_PARSED = f"""WITH {sql_events}, planted AS (SELECT {", ".join(f"{v} AS {k}" for k, v in _PLANTED.items())}, {", ".join(_KEPT)}, n FROM ev),
+parsed AS (SELECT {", ".join(f"CASE WHEN n % 97 <> 0{' AND n % 91 <> 0' if c == 'event_time' else ''} THEN {c} END AS {c}" for c in (*_PLANTED, *_KEPT))}, n FROM planted),
+accepted AS (SELECT * FROM parsed WHERE {" AND ".join(f"coalesce({c}, false)" for c in sql_rules.values())})"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_value, n``: envelopes, some of them broken in one way alone."""
+    return envelopes(session_events(spark, sf_dir).selectExpr("*").withColumns({k: F.expr(v) for k, v in _PLANTED.items()}))
+
+
+def interrupted(spark: SparkSession, sf_dir: str) -> LakeOptions:
+    """The lines through bronze, silver and gold's partial rows, in two halves, with all streams stopped after a batch.
+
+    Every seventh line is sent again with the second half, among blank lines; the second half holds
+    the earlier times as well as the later.  After each stop the last batch's commit is
+    taken from the checkpoint, as if the cluster had been lost between writing and committing; the batch runs again.
+    """
+    from tidewell.sources.events import FileEventSource
+    from tidewell.streaming import bronze, increments, silver
+    from tidewell.streaming.support import run_batches
+
+    options = LakeOptions(base=scratch(spark), drive=Drive.RATE_LIMITED, max_files=2)
+    slow = replace(options, drive=Drive.CONTINUOUS, interval=timedelta(hours=1))  # a batch, and then a pause to stop in
+    lines = _lines(spark, sf_dir)
+    source = FileEventSource(options)
+    again = lines.where("n % 2 = 1").unionByName(lines.where("n % 7 = 0"))
+    with_blanks = F.when(F.col("n") % 5 == 0, F.array("raw_value", F.lit(""))).otherwise(F.array("raw_value"))
+    halves = (lines.where("n % 2 = 0"), again.select(F.explode(with_blanks).alias("raw_value")))
+    for half in halves:
+        half.select("raw_value").repartition(4).write.mode("append").text(options.landing)
+        for name, start, run in (
+            (bronze.NAME, lambda: bronze.start(spark, slow, source), lambda: bronze.run(spark, options, source)),
+            (silver.NAME, lambda: silver.start(spark, slow), lambda: silver.run(spark, options)),
+            (increments.NAME, lambda: increments.start(spark, slow), lambda: increments.run(spark, options)),
+        ):
+            run_batches(start(), 1)
+            _uncommitted(spark, options.checkpoint(name))
+            run()
+    return options
+
+
+def _uncommitted(spark: SparkSession, checkpoint: str) -> None:
+    """Take the last commit from a checkpoint."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName().isdigit()]
+    if done:
+        files.delete(max(done, key=lambda p: int(p.getName())), False)
+
+
+@query("stream_restart", f"{_PARSED} SELECT event_id, event_type, session_code, player_count FROM accepted")
+def stream_restart(spark, sf_dir):
+    """Silver after stops, replays, duplicates and blank lines is what one pass over distinct lines gives."""
+    return LakeTable(spark, interrupted(spark, sf_dir).table(SILVER)).read().select("event_id", "event_type", "session_code", "player_count")
+
+
+@query(
+    "stream_quarantine",
+    f"""{_PARSED}, marked AS (SELECT *, {sql_broken} AS broken FROM parsed)
+SELECT array_to_string(broken, ',') AS failures, sum(CASE WHEN n % 7 = 0 THEN 2 ELSE 1 END)::BIGINT AS lines FROM marked WHERE len(broken) > 0 GROUP BY 1""",
+)
+def stream_quarantine(spark, sf_dir):
+    """Lines that were rejected, by all that they break; a line that was sent twice is there twice."""
+    rows = LakeTable(spark, interrupted(spark, sf_dir).table(QUARANTINE)).read()
+    return rows.groupBy(F.array_join("quality_failures", ",").alias("failures")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(
+    "stream_increments",
+    f"""{_PARSED} SELECT epoch_us(date_trunc('minute', event_time)) AS window_us, region, count(DISTINCT session_code) AS active_sessions, sum(player_count)::BIGINT AS player_slot_events,
+  max(player_count) AS peak_session_size, count(*) AS event_count FROM accepted GROUP BY 1, 2""",
+)
+def stream_increments(spark, sf_dir):
+    """Gold from the partial rows of each batch of newly accepted events; late ones only add to their windows."""
+    from tidewell.streaming import increments
+
+    rows = partials.concurrency(increments.read(spark, increments.folder(interrupted(spark, sf_dir))))
+    return rows.select(F.unix_micros("window_start").alias("window_us"), "region", "active_sessions", "player_slot_events", "peak_session_size", "event_count")
