@@ -460,6 +460,17 @@ def party_percentiles(spark, sf_dir):
     return both[0].unionAll(both[1])
 
 
+@query(
+    "queue_percentiles",
+    f"""WITH {_PLAYERS}, ranked AS (SELECT game_id, region, rating, row_number() OVER (PARTITION BY game_id, region ORDER BY rating) AS place, count(*) OVER (PARTITION BY game_id, region) AS n FROM players),
+wanted AS (SELECT unnest([1, 25, 50, 95, 99]) AS percent)
+SELECT game_id, region, percent, rating AS value FROM ranked, wanted WHERE place = greatest(1, least(n, ceil(percent / 100.0::DOUBLE * n)))""",
+)
+def queue_percentiles(spark, sf_dir):
+    """Ratings of each queue at five percentiles; the default rating is a tie of many."""
+    return percentiles(_rated(spark, sf_dir), "rating", (1, 25, 50, 95, 99), by=matchmaking.QUEUE)
+
+
 @query("party_mean", f"{_SPREADS} SELECT count(*) AS parties, round(avg(spread), 4) AS mean_spread FROM spreads")
 def party_mean(spark, sf_dir):
     spreads = matchmaking.party_quality(matchmaking.fifo_parties(_rated(spark, sf_dir), 4))
