@@ -335,40 +335,53 @@ def touching_sessions(spark, sf_dir):
 
 # The query pack and the layout queries
 
-_SILVER_COLUMNS = "SELECT * FROM good"
-_PACK_BASE = f"""{_BASE}, gold_session_lifecycle_1m AS ({_LIFE_SELECT}), gold_region_concurrency_1m AS ({_CONC_SELECT}),
-  durations AS ({_DUR_SELECT}), gold_session_duration AS (SELECT * FROM durations), gold_matchmaking_funnel AS ({_FUNNEL_SELECT}),
-  silver_session_events AS ({_SILVER_COLUMNS}), bronze_session_events AS (SELECT * FROM ev),
-  silver_quarantine AS (SELECT {_BROKEN} AS quality_failures FROM ev WHERE len({_BROKEN}) > 0)"""
+# In the pack some sessions never start: those whose code ends in a 4 have their starts taken away.
+_NEVER_STARTED = "session_code LIKE 'S%4' AND event_type = 'SESSION_STARTED'"
+_PACK_GOOD = f"WITH {_EV.replace('ev AS', 'whole AS')}, ev AS (SELECT * FROM whole WHERE NOT ({_NEVER_STARTED})), {_GOOD}"
+_PACK_SQL = (
+    f"""{_PACK_GOOD}, life AS ({_LIFE_SELECT}), placed AS (SELECT *, row_number() OVER (ORDER BY sessions_created DESC, window_start, game_id, region) AS place FROM life)
+SELECT window_start, game_id, region, sessions_created, player_joins, distinct_sessions FROM placed WHERE place <= 10""",
+    f"""{_PACK_GOOD}, load AS ({_CONC_SELECT}), placed AS (SELECT *, row_number() OVER (ORDER BY window_start DESC, region) AS place FROM load)
+SELECT window_start, region, active_sessions, peak_session_size, event_count FROM placed WHERE place <= 10""",
+    f"""{_PACK_GOOD}, durations AS ({_DUR_SELECT}), funnel AS ({_FUNNEL_SELECT}) SELECT * EXCLUDE (sessions_terminated) REPLACE (round(avg_peak_players, 2) AS avg_peak_players) FROM funnel""",
+    f"""{_PACK_GOOD}, durations AS ({_DUR_SELECT}), placed AS (SELECT *, row_number() OVER (ORDER BY duration_seconds DESC, session_code) AS place FROM durations)
+SELECT session_code, game_id, region, peak_players, capacity, duration_seconds, completed FROM placed WHERE place <= 10""",
+    f"""{_PACK_GOOD}, durations AS ({_DUR_SELECT}), never AS (SELECT session_code FROM good GROUP BY 1 HAVING bool_and(event_type <> 'SESSION_STARTED'))
+SELECT game_id, region, count(*) AS abandoned, round(avg(peak_players), 2) AS avg_players_reached, round(avg(duration_seconds), 1) AS avg_seconds_before_giving_up
+FROM durations SEMI JOIN never USING (session_code) GROUP BY ALL""",
+    f"{_PACK_GOOD} SELECT failure_reason, count(*) AS rows_rejected FROM (SELECT unnest({_BROKEN}) AS failure_reason FROM ev) GROUP BY 1",
+    f"""{_PACK_GOOD} SELECT count(*) AS bronze_rows, count(*) FILTER (len({_BROKEN}) = 0) AS silver_rows, count(*) FILTER (len({_BROKEN}) > 0) AS quarantined_rows,
+  count(DISTINCT event_id) FILTER (len({_BROKEN}) = 0) AS distinct_events_in_silver FROM ev""",
+)
+_LAYOUT_SQL = {
+    "count_all": "SELECT count(*) AS n FROM good",
+    "point_lookup_session": "SELECT count(*) FILTER (session_code = 'S7') AS n FROM good",
+    "game_region_rollup": "SELECT game_id, region, event_type, count(*) AS n FROM good WHERE (game_id, region) = ('cyberpunk-2077', 'us-west-2') GROUP BY ALL",
+    "wide_aggregate": "SELECT event_type, count(*) AS n, sum(player_count) / count(player_count) AS avg_players FROM good GROUP BY ALL",
+}
 
 
-def _pack_views(spark, sf_dir) -> None:
-    events = session_events(spark, sf_dir)
+def _pack_tables(spark, sf_dir) -> Callable[[str], DataFrame]:
+    """The tables of the pack, worked out from the events when they are asked for."""
+    events = session_events(spark, sf_dir).where(f"NOT ({_NEVER_STARTED})")
     good, bad = quality.split(events)
-    durations = gold.session_durations(good)
-    for name, df in {
-        BRONZE: events, SILVER: good, QUARANTINE: bad, LIFECYCLE: gold.lifecycle(good, exact=True), CONCURRENCY: gold.concurrency(good, exact=True),
-        DURATION: durations, FUNNEL: gold.matchmaking_funnel(durations),
-    }.items():
-        df.createOrReplaceTempView(name)
+    made = {
+        BRONZE: lambda: events, SILVER: lambda: good, QUARANTINE: lambda: bad, LIFECYCLE: lambda: gold.lifecycle(good, exact=True), CONCURRENCY: lambda: gold.concurrency(good, exact=True),
+        DURATION: lambda: gold.session_durations(good), FUNNEL: lambda: gold.matchmaking_funnel(gold.session_durations(good)),
+    }
+    return lambda name: made[name]()
 
 
 def _register_pack() -> None:
-    for k, sql in enumerate(PACK.values(), 1):
-
-        def run(spark, sf_dir, sql=sql):
-            _pack_views(spark, sf_dir)
-            return spark.sql(sql)
-
-        oracle = sql.replace("explode(quality_failures)", "unnest(quality_failures)")
-        query(f"pack_q{k}", f"{_PACK_BASE} {oracle}")(run)
+    for k, (plan, oracle) in enumerate(zip(PACK.values(), _PACK_SQL, strict=True), 1):
+        query(f"pack_q{k}", oracle)(lambda spark, sf_dir, plan=plan: plan(_pack_tables(spark, sf_dir)))
     for q in layout_queries("S7"):
 
         def run(spark, sf_dir, q=q):
-            _pack_views(spark, sf_dir)
+            good_events(spark, sf_dir).createOrReplaceTempView(SILVER)
             return spark.sql(q.over(SILVER))
 
-        query(f"layout_{q.name}", f"{_PACK_BASE} {q.over(SILVER)}")(run)
+        query(f"layout_{q.name}", f"{_BASE} {_LAYOUT_SQL[q.name]}")(run)
 
 
 _register_pack()
