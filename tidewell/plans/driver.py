@@ -723,27 +723,29 @@ def stream_concurrency(spark, sf_dir):
     return rows.select(F.unix_micros("window_start").alias("window_us"), *CONCURRENCY_KEY[1:], "player_slot_events", "peak_session_size", "event_count")
 
 
-@query("generated_sessions")
-def generated_sessions(spark, sf_dir):
+def _order_sessions(spark, sf_dir) -> DataFrame:
+    """A generated session for each order."""
     from datetime import UTC, datetime
 
-    from tidewell.operators.generate import generated
+    from tidewell.operators.generate import generated_for
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return generated_for(orders.select(F.col("o_orderkey").alias("number")), datetime(2026, 8, 27, 9, tzinfo=UTC))
 
-    lines = generated(spark, 500, datetime(2026, 8, 27, 9, tzinfo=UTC))
+
+@query("generated_sessions")
+def generated_sessions(spark, sf_dir):
+    lines = _order_sessions(spark, sf_dir)
     return envelope.parse(lines, keep=()).select("event_id", "event_type", "session_code", "player_count", "session_state")
 
 
 @query(
     "generated_lives",
-    """SELECT concat('S', lpad(CAST(n AS VARCHAR), 7, '0')) AS session_code, TRUE AS one_creation_first, TRUE AS one_end_last, TRUE AS joins_add_one, TRUE AS starts_with_two, TRUE AS times_rise FROM range(2000) AS t(n)""",
+    """SELECT concat('S', lpad(CAST(n AS VARCHAR), 7, '0')) AS session_code, TRUE AS one_creation_first, TRUE AS one_end_last, TRUE AS joins_add_one, TRUE AS starts_with_two, TRUE AS times_rise FROM (SELECT DISTINCT o_orderkey AS n FROM orders)""",
 )
 def generated_lives(spark, sf_dir):
     """What holds for the life of every generated session."""
-    from datetime import UTC, datetime
-
-    from tidewell.operators.generate import generated
-
-    lines = generated(spark, 2000, datetime(2026, 8, 27, 9, tzinfo=UTC))
+    lines = _order_sessions(spark, sf_dir)
     beats = F.array_sort(F.collect_list(F.struct("beat", "event_type", "event_time", "player_count")))
     lives = envelope.parse(lines, keep=("beat",)).groupBy("session_code").agg(beats.alias("b"))
     kinds = "transform(b, x -> x.event_type)"
