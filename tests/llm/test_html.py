@@ -184,3 +184,47 @@ def test_renamed_articles_give_the_same_texts(spark):
     same = sum(a[k] == b[k] for k in a)
     assert same >= 0.9 * len(a)
     assert not any(read(r.html).flags[-1] & HIDDEN for r in pages.limit(5).collect())
+
+
+def test_numbered_classes_shared_headings_paragraphs_and_near_copies(spark):
+    """A host per case; all are read in one run."""
+    rnd = random.Random(12)
+    rows, want = [], []
+
+    def host(name, pages, texts):
+        rows.extend((f"{name}.example", p) for p in pages)
+        want.extend("\n".join(t) for t in texts)
+
+    for n in (3, 10, 40):
+        texts = [[essay(rnd), essay(rnd)] for _ in range(n)]
+        host(f"columns{n}", [f"<html><body><div class='col-md-8'><p>{a}</p><p>{b}</p></div><div class='col-md-4'><p>{essay(rnd, 12)}</p></div></body></html>" for a, b in texts], texts)
+    for near, n in ((2, 2), (3, 3), (3, 4), (3, 6), (5, 10), (3, 8)):
+        copied = [essay(rnd), essay(rnd)]
+        texts = [copied if k < near else [essay(rnd), essay(rnd)] for k in range(n)]
+        host(f"near{near}of{n}", [f"<html><body><nav>menu {k}</nav><article><p>{a}</p><p>{b}</p></article></body></html>" for k, (a, b) in enumerate(texts)], texts)
+    page = "<html><body><nav><a href='/'>Home</a></nav><article>{}</article><footer>All rights</footer></body></html>"
+    shared = essay(rnd, 15)
+    texts = [["Weekly report", essay(rnd), *([shared] if k % 2 else []), essay(rnd)] for k in range(10)]
+    host("report", [page.format(f"<h2>{t[0]}</h2>" + "".join(f"<p>{x}</p>" for x in t[1:])) for t in texts], texts)
+    for name in ("comments", "menu", "cookie", "footer"):
+        texts = [[essay(rnd) + ".", essay(rnd) + "."]]
+        more = "".join(f"<p>{essay(rnd, 30)}.</p>" for _ in range(8))
+        host(name, [f"<html><body><article><p>{t[0]}</p><p>{t[1]}</p><section class='{name}'>{more}</section></article></body></html>" for t in texts], texts)
+    assert texts_of(spark, rows) == want
+
+
+def test_all_numbered_elements_of_a_table(spark):
+    """Menu, advert, article and footer as numbered ``div`` elements: nearly all pages keep their texts."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = F.col("html")
+    for i, tag in enumerate(("nav", "aside", "article", "footer"), 1):
+        html = F.regexp_replace(F.regexp_replace(html, f"<{tag}[^>]*>", f"<div class='k{i}'>"), f"</{tag}>", "</div>")
+    a = {r.page_id: r.text for r in htmltext.main_text(pages).collect()}
+    b = {r.page_id: r.text for r in htmltext.main_text(pages.withColumn("html", html)).collect()}
+    assert sum(a[k] == b[k] for k in a) >= 0.95 * len(a)
+
+
+def test_the_passage_of_a_page():
+    long, short, named = "w " * 25, "v " * 5, "n " * 90
+    assert htmltext.passage(read(f"<nav><p>{named}</p></nav><p>{short}</p><p>{long}</p>")) == long.strip()
+    assert htmltext.passage(read(f"<div class='cookie'>{named}</div><p>{short}</p>")) is None and htmltext.passage(read(None)) is None

@@ -6,25 +6,26 @@ vector says how often each page of the host has it.
 
 1. Every page is read once, and its tokens are counted over *all* pages of the host:
    pages, occurrences, and a sum of hashes of (page, count) that stands for the
-   occurrence vector.  Exact copies of a page count once.
+   occurrence vector.  Exact copies of a page count once, and so do pages that agree in
+   their longest block, if that is a passage and in no named element: near copies of a text are no template.
 2. Tokens with one vector form an equivalence class.  A class is valid if it is
    large (an element counts twice, for its two tags) and frequent.  A token's place
    is part of it, so the tokens of a class nest alike on all pages, and a class lies
    in the innermost element of another that holds its place.  Elements that stand
    once on a page, in a valid class, are the template's elements; blocks of text in
    a valid class, or directly nested into one, are its text if they stand on at
-   least half of the pages that have their place.  What a template element holds
+   least nine in ten of the pages that have their place.  What a template element holds
    beside that is its slot, and the mean number of words in it is the slot's weight.
 3. Every page is read again beside the template of its host.  The main slot is found
    by going down from the root into the template element that holds nearly all of
    what slots hold, as far as there is one; the tag name only ends the way, at an
    article or main element.  The slot's blocks without the template's text are the
-   main text.
+   main text; a heading of the template stays if text that is not the template's goes with it.
 
 Names of elements (``nav``, ``comments``, ...) are a prior: they lower an element's
 weight on the way, and an element named so inside the slot is an inset where it is an
-element of the template, or holds less than half of the slot's words.  A name never
-drops the greater part of a text by itself.  Pages that meet no template (a host with
+element of the template, or holds less than half of the slot's words, or stands beside
+sentences without such a name.  A name alone never drops all there is.  Pages that meet no template (a host with
 one or two pages) have only their elements: article, else main, else all, without
 such insets.
 
@@ -48,7 +49,11 @@ from tidewell.llm.common import in_small_batches, stored
 from tidewell.llm.markup import HIDDEN, HOLDS, NAMED, STOPS, TITLE, Page, read
 
 #: Text of a template stands on so many pages, and on this share of those that have its place.
-FREQUENT, SHARE = 3, 0.5
+FREQUENT, SHARE = 3, 0.9
+#: A passage has so many words; copies of a page that share their longest one count once.
+PASSAGE = 20
+#: A sentence beside a named element has so many words.
+SENTENCE = 12
 #: A valid class has so many tokens.
 LARGE = 3
 #: Elements of a template stand on this share of a host's pages, and on two at least.
@@ -62,6 +67,9 @@ GROUP_PAGES = 4096
 #: Repeated contents that are told to every task; beyond, they meet the pages in a shuffle.
 BROADCAST_COPIES = 200_000
 
+_HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
+_ENDS = frozenset(".!?…。！？\"'”’)»")
+
 _COUNTS = "host long, path long, seg long, n long, once long, words long, a long, b long, parent long, flags int"
 _TEMPLATE = "host long, groups int, path array<long>, weight array<double>, direct array<double>, element array<boolean>, seg array<long>"
 _TEXTS = "page_id long, url string, text string, n_chars long"
@@ -98,6 +106,15 @@ def tokens(page: Page) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
     return elements, segments
 
 
+def passage(page: Page) -> str | None:
+    """The longest block of a page outside of named elements; of equal ones the first by code points; None if there is no passage."""
+    named = [False] * len(page.parent)
+    for at in range(1, len(page.parent)):
+        named[at] = named[page.parent[at]] or bool(page.flags[at] & NAMED)
+    longest = max(((t.count(" "), len(t), t) for at, t in page.blocks if not named[at]), default=(0, 0, ""))
+    return longest[2] if longest[0] + 1 >= PASSAGE else None
+
+
 def _mixed(page: int, n: int) -> int:
     return xxhash.xxh3_64_intdigest(f"{page}*{n}")
 
@@ -205,6 +222,14 @@ class Template:
         return at if met or self.text else None
 
 
+def _speaks(page: Page, live: list[bool], tops: list[int]) -> bool:
+    """Whether some elements hold a sentence that is in no named element below them."""
+    free = [False] * len(page.parent)
+    for at in range(len(page.parent)):
+        free[at] = at in tops or (at > 0 and free[page.parent[at]] and not page.flags[at] & NAMED)
+    return any(ok and free[at] and page.kind[at] not in _HEADINGS and t.count(" ") + 1 >= SENTENCE and t[-1] in _ENDS for (at, t), ok in zip(page.blocks, live, strict=True))
+
+
 def extract(page: Page, template: Template | None = None) -> list[str]:
     """The blocks of a page's main text."""
     slot = template.slot(page) if template else None
@@ -215,6 +240,8 @@ def extract(page: Page, template: Template | None = None) -> list[str]:
         words[at] += ok * (t.count(" ") + 1)
     for at in range(len(words) - 1, 0, -1):
         words[page.parent[at]] += words[at]
+    # A heading goes with what it stands over.
+    live = [ok or (page.kind[at] in _HEADINGS and words[page.parent[at]] > 0) for (at, _), ok in zip(page.blocks, live, strict=True)]
     tops = [0] if slot is None else [slot]
     if slot is None:
         # Without a template the outermost articles, else main elements, that hold any text.
@@ -231,6 +258,7 @@ def extract(page: Page, template: Template | None = None) -> list[str]:
                 tops = found
                 break
     whole = sum(words[t] for t in tops)
+    spoken = _speaks(page, live, tops)
     # 1: in the slot; 2: beside a template's slot, where only a heading of the first level is text.
     state = [0 if slot is None else 2] * len(words)
     for t in tops:
@@ -247,7 +275,7 @@ def extract(page: Page, template: Template | None = None) -> list[str]:
             state[at] = up
             if page.flags[at] & NAMED and at not in ways:
                 known = slot is not None and page.path[at] in template.known
-                if up != 1 or known or 2 * words[at] < whole:
+                if up != 1 or known or spoken or 2 * words[at] < whole:
                     state[at] = 0
     return [t for (at, t), ok in zip(page.blocks, live, strict=True) if ok and (state[at] == 1 or (state[at] == 2 and page.flags[at] & TITLE))]
 
@@ -298,6 +326,23 @@ def _first_copies(rows: DataFrame) -> DataFrame:
     return both.where(F.col("keep").isNull() | F.struct("page_id", "url").eqNullSafe(F.col("keep"))).select("host", "key", "html")
 
 
+def _passages(batches: Iterable[pa.RecordBatch]):
+    """The hash of each page's passage, null without one."""
+    for batch in batches:
+        found = [passage(read(content)) for content in batch.column("html").to_pylist()]
+        marks = pa.array([None if t is None else xxhash.xxh3_64_intdigest(t) >> 1 for t in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("key"), marks], names=["host", "key", "mark"])
+
+
+def _first_near_copies(rows: DataFrame) -> DataFrame:
+    """One page, that with the least key, of those of a host that share their passage; and all without one."""
+    marks = stored(in_small_batches(rows).mapInArrow(_passages, "host long, key long, mark long").where("mark IS NOT NULL"))
+    first = marks.groupBy("host", "mark").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("pages")).where("pages > 1")
+    later = marks.join(first, ["host", "mark"]).where("key <> first").select("host", "key").distinct()
+    later = stored(later)
+    return rows.join(F.broadcast(later) if later.count() <= BROADCAST_COPIES else later, ["host", "key"], "left_anti")
+
+
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", content: str = "html", broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """The main text of every page.
 
@@ -317,7 +362,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", cont
         F.xxhash64(F.col(content).cast("string")).alias("key"),
         F.col(content).cast("string").alias("html"),
     )
-    found = templates(_first_copies(rows))
+    found = templates(_first_near_copies(_first_copies(rows)))
     size = found.agg(F.coalesce(F.sum(F.size("path") + F.size("seg")), F.lit(0))).first()[0]
     rows = rows.drop("key")
     if size <= broadcast_tokens:

@@ -39,7 +39,8 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _QUOTED = re.compile(r"=\s*([\"'])")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _HIDES = re.compile(r"display\s*:\s*none", re.I)
-_DIGITS = re.compile(r"\d+")
+#: Numbers of so many digits in class names are ids.
+_DIGITS = re.compile(r"\d{4,}")
 
 NAMED, HIDDEN, HOLDS, STOPS, TITLE = 1, 2, 4, 8, 16
 
@@ -68,7 +69,7 @@ def _flags(tag: str, attrs: str, in_article: bool) -> tuple[int, str]:
         out |= HIDDEN
     if found.get("role", "").lower() in _FRAME_ROLES or _FRAME_NAMES & set(f"{label} {found.get('id', '')}".lower().split()):
         out |= NAMED
-    # Numbers in class names tell pages apart, not places.
+    # Long numbers in class names tell pages apart, short ones places.
     return out, f"{tag}.{' '.join(_DIGITS.sub('#', label).split())}" if label else tag
 
 
