@@ -155,3 +155,45 @@ def test_repeated_rows_and_clashing_names(tables, module, label, keep):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if passed(r.score))
     assert keep(clash.limit(0), model).count() == 0
     assert module.train(docs.withColumns({c: F.lit("x") for c in ("label_id", "y", label)}), labels) is not None
+
+
+def test_altered_insults_are_flagged_nearly_as_often_as_plain_ones():
+    """Clean held-out texts with insults put in: as they are, with marks between letters, a letter doubled, a letter put in."""
+    import zlib
+
+    import duckdb
+
+    sf = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT doc_id, text, toxic, lang FROM '{sf}/documents.parquet' JOIN '{sf}/labels.parquet' USING (doc_id) WHERE toxic IS NOT NULL ORDER BY doc_id").fetchall()
+    kept_out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    model = toxicity.fit([(t, y) for i, t, y, _ in rows if not kept_out(i)])
+    clean = [t for i, t, y, lang in rows if kept_out(i) and y == 0 and lang == "en" and len(t.split()) > 60]
+    clean = [t for t, s in zip(clean, model.scores(clean), strict=True) if s < 0.5][:60]
+    insults = ["idiot", "clown", "pathetic", "worthless", "moron", "stupid"]
+    ways = {
+        "plain": lambda w, rnd: w,
+        "dots": lambda w, rnd: ".".join(w),
+        "doubled": lambda w, rnd: w[: (k := rnd.randrange(1, len(w)))] + w[k - 1] + w[k:],
+        "letter": lambda w, rnd: w[: (k := rnd.randrange(1, len(w)))] + "x" + w[k:],
+    }
+    flagged = {}
+    for name, way in ways.items():
+        rnd = random.Random(6)
+        texts = []
+        for t in clean:
+            words = t.split(" ")
+            for w in insults:
+                words.insert(rnd.randrange(1, len(words)), way(w, rnd))
+            texts.append(" ".join(words))
+        flagged[name] = float((model.scores(texts) >= 0.5).mean())
+    assert flagged["plain"] >= 0.85
+    assert min(flagged["dots"], flagged["doubled"]) >= flagged["plain"] - 0.05 and flagged["letter"] >= flagged["plain"] - 0.12
+
+
+def test_alterations_touch_only_words_with_a_landmark():
+    rnd = random.Random(1)
+    for _ in range(50):
+        words = toxicity.altered("An Idiot, i.d.i.o.t and idle folk", ["^idiot"], rnd).split()
+        assert [words[0], words[3:]] == ["an", ["and", "idle", "folk"]]
+        assert all(w[0] == "i" and len(w.rstrip(",")) == 6 and w.rstrip(",")[-1] == "t" for w in words[1:3])
+    assert toxicity.altered("", ["^x"], rnd) == ""

@@ -15,17 +15,20 @@ likeness to the insult it stems from.
   words for all landmarks at once.
 * A linear SVM (squared hinge) is trained on sentences.  Only documents carry
   labels, so a toxic document speaks through the sentences that hold a landmark
-  and its most toxic one, chosen anew after each fit.  A document's score is logistic in its worst sentence, in the
+  and its most toxic one, chosen anew after each fit.  Copies of the toxic documents with
+  a letter inserted into each insult are learnt as well, so that altered insults count.  A document's score is logistic in its worst sentence, in the
   sum of all, and in that sum by length.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +41,10 @@ from tidewell.llm.training import labelled_sample
 
 #: Labelled rows that a fit uses at most.
 SAMPLE_ROWS = 4000
-#: A word's likeness to a landmark is raised to SHARPNESS; a power of a kernel is a kernel.
-ORDER, DECAY, OVERLAP, SHARPNESS = 3, 0.5, 0.75, 2
+#: A word's likeness to a landmark is raised to SHARPNESS.
+ORDER, DECAY, OVERLAP, SHARPNESS = 3, 0.5, 0.75, 1.5
+#: What a copy of a toxic document with altered insults weighs beside a document as it is, and the seed of the alterations.
+ALTERED_WEIGHT, ALTERED_SEED = 0.25, 7
 LANDMARKS, ORDINARY = 32, 8
 #: Longer tokens are looked at through windows of this width.
 WINDOW = 24
@@ -52,14 +57,29 @@ COVER_SHARE = 0.015
 #: A sentence without an end is cut after so many words.
 SENTENCE_WORDS = 30
 _SPELLED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
+#: Marks inside a word, as in ``i.d.i.o.t``.
+_INNER = re.compile(r"(?<=\w)[^\w\s]+(?=\w)")
 _MEMO_MOST = 150_000
 #: Stands before every word, so that a landmark can say where a word begins.
 START = "^"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case words; runs of single characters such as ``i d i o t`` are joined to one."""
-    return _SPELLED.sub(lambda m: re.sub(r"\s", "", m[0]), text.lower()).split() if text else []
+    """Lower-case words without marks inside; runs of single characters such as ``i d i o t`` are joined to one."""
+    return _SPELLED.sub(lambda m: re.sub(r"\s", "", m[0]), _INNER.sub("", text.lower())).split() if text else []
+
+
+def altered(text: str, marks: list[str], rnd: random.Random) -> str:
+    """A text with a letter put into every word that has a landmark, somewhere inside that landmark."""
+    out = []
+    for w in words_of(text):
+        hit = next((z for z in marks if z in START + w), None)
+        if hit:
+            first = max(0, (START + w).index(hit) - 1)
+            at = first + rnd.randrange(1, max(2, len(hit.removeprefix(START))))
+            w = w[:at] + rnd.choice(ascii_lowercase) + w[at:]
+        out.append(w)
+    return " ".join(out)
 
 
 def _windows(words: list[str]) -> tuple[list[str], np.ndarray]:
@@ -325,7 +345,11 @@ def fit(sample: list[tuple[str, int]]) -> ToxicityModel:
         return ToxicityModel(LandmarkKernel([]), np.zeros(0), 0.0, np.array([0.0, 0.0, 0.0, math.log(rate / (1 - rate))]))
     kernel = LandmarkKernel(marks)
     model = ToxicityModel(kernel, np.zeros(len(marks)), 0.0, np.zeros(4))
-    bags, words = model.features([t for t, _ in sample])
+    rnd = random.Random(ALTERED_SEED)
+    copies = [altered(t, marks[: max(1, len(marks) - ORDINARY)], rnd) for t, v in sample if v]
+    bags, words = model.features([*[t for t, _ in sample], *copies])
+    count = np.r_[np.ones(len(y)), np.full(len(copies), ALTERED_WEIGHT)]
+    y = np.r_[y, np.ones(len(copies))]
     gram = np.zeros((len(marks), len(marks)))
     word, mark, value = LandmarkKernel(marks, overlap=0).values([z.removeprefix(START) for z in marks])
     np.maximum.at(gram, (word, mark), (value * np.sqrt(kernel.own[mark] / kernel.own[word])) ** SHARPNESS)
@@ -345,18 +369,18 @@ def fit(sample: list[tuple[str, int]]) -> ToxicityModel:
         w = _squared_hinge(x, side, cost)
         model.weights, model.bias = root @ w[:-1], float(w[-1])
         pick = [b[(b @ model.weights).argmax()] for b in toxic]
-    model.scale = _logistic(model.evidence(bags, words), y)
+    model.scale = _logistic(model.evidence(bags, words), y, count)
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> np.ndarray:
-    """Ridge logistic regression by damped Newton steps; the constant is not shrunk."""
+def _logistic(x: np.ndarray, y: np.ndarray, count: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> np.ndarray:
+    """Ridge logistic regression of weighted rows by damped Newton steps; the constant is not shrunk."""
     w = np.zeros(x.shape[1])
     shrink = np.r_[np.full(len(w) - 1, ridge), 1e-6]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(shrink)
-        step = np.clip(np.linalg.solve(hess, x.T @ (y - p) - shrink * w), -2, 2)
+        hess = (x * (count * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(shrink)
+        step = np.clip(np.linalg.solve(hess, x.T @ (count * (y - p)) - shrink * w), -2, 2)
         w += step
         if np.abs(step).max() < 1e-7:
             break
