@@ -23,7 +23,10 @@ class EventSource(Protocol):
 
 @dataclass(frozen=True)
 class FileEventSource:
-    """One event per line of the files that appear in the landing folder."""
+    """One event per line of the files that appear in the landing folder.
+
+    ``source_timestamp`` is the time of reading, since copying a file changes its own.
+    """
 
     options: LakeOptions
     max_files: int | None = None

@@ -26,13 +26,14 @@ def refresh(batch: DataFrame, silver: LakeTable, lifecycle: LakeTable, concurren
     """Recompute the windows that a batch of silver rows touches.
 
     Silver is read at its latest version, which holds the batch, and only the
-    dates from the first touched window's start to the last one's end are read.
+    dates that a touched window lies on are read, however far apart they are.
     """
     w = F.window("event_time", window)
-    bounds = batch.agg(F.min(F.to_date(w["start"])).alias("low"), F.max(F.to_date(w["end"])).alias("high")).first()
-    if bounds["low"] is None:
+    days = batch.select(F.explode(F.sequence(F.to_date(w["start"]), F.to_date(w["end"]))).alias("day")).distinct()
+    dates = sorted(r["day"] for r in days.collect())  # a row per date
+    if not dates:
         return
-    near = silver.read(where=[("event_date", ">=", bounds["low"]), ("event_date", "<=", bounds["high"])])
+    near = silver.read(where=[("event_date", "in", dates)])
     scope = rollups.in_touched_windows(near, batch, window).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         lifecycle.upsert(rollups.stamped(rollups.lifecycle(scope, window)), LIFECYCLE_KEY, prune="window_start")
