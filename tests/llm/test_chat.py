@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -122,3 +123,17 @@ def test_one_conversation_holds_nearly_all(spark):
     rows = [(0, t, "u", f"> said at {t - 1}\n\nsaid at {t}" if t else "said at 0") for t in range(3000)] + [(c, 0, "u", "hello") for c in range(1, 40)]
     got = {(r.conv_id, r.turn): r for r in reply_ordered(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[0, t].reply_to == t - 1 and got[0, t].depth == t and got[0, t].text == f"said at {t}" for t in range(1, 3000))
+
+
+def test_messages_without_a_place_stay_out_of_the_join(spark):
+    """Many of them: each is a row of its own result, and no task gathers them."""
+    rows = [(None if k % 2 else 1, None if k % 3 else 2, "user", "> said before\nown line" if k % 5 else None) for k in range(600)]
+    rows += [(1, 1, "user", "said before")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = reply_ordered(frame)
+    want = Counter((c, t) for c, t, _, _ in rows)
+    found = got.collect()
+    assert Counter((r.conv_id, r.turn) for r in found) == want
+    loose = [r for r in found if r.conv_id is None or r.turn is None]
+    assert all((r.reply_to, r.depth, r.n_linked) == (None, 0, 0) for r in loose)
+    assert {r.text for r in loose} == {"", "> said before\nown line"} and {r.text for r in found if (r.conv_id, r.turn) == (1, 2)} == {"", "own line"}

@@ -163,7 +163,10 @@ def reply_ordered(messages: DataFrame, conv_id: str = "conv_id", turn: str = "tu
     seen = units.groupBy("conv_id", "h").agg(F.min("turn").alias("seen"))
     known = units.where("level > 0").join(seen, ["conv_id", "h"]).where("seen < turn").groupBy("conv_id", "turn").agg(F.collect_set("h").alias("known"))
     found = checkpointed(known.join(found, ["conv_id", "turn"], "full"))
-    return _with_own(_parsed(rows.join(found, ["conv_id", "turn"], "left"))).select(
+    # Messages without a conversation or turn would all meet in one task of the join.
+    in_place = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    placed = rows.where(in_place).join(found, ["conv_id", "turn"], "left").unionByName(rows.where(~in_place), allowMissingColumns=True)
+    return _with_own(_parsed(placed)).select(
         "conv_id",
         F.coalesce("thread", "turn").alias("thread"),
         "turn",
