@@ -29,6 +29,7 @@ def query(name: str, oracle: str | None = None):
 
 @query("op5_token_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts count as empty, with no tokens; repeated rows and null ids are rows of their own; no documents, no rows."""
     from tidewell.llm.tokens import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCAB))
@@ -36,6 +37,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are their end id alone; repeated rows are packed as often as they occur; null ids are kept; no documents, no pieces."""
     from tidewell.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCAB))
@@ -75,6 +77,7 @@ FROM placed
 
 @query("op10_source_mixing", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and blank texts have size 0 and are taken 0 times; a null source is a source of its own; rows alike in id and text share a place and give equal parts; no documents, no rows."""
     from tidewell.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))
@@ -106,6 +109,7 @@ FROM sized d
 
 @query("op8_ngram_jaccard_join", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and blank texts have no shingles and link with nothing; equal sets are one node; documents of one id are told apart by their sets; documents without an id take part, and a component of such alone is null; no documents, no rows."""
     from tidewell.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
@@ -113,6 +117,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_toxicity")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null, empty and blank texts score as texts without words; repeated rows score alike; a null id is not held out; no documents, no rows."""
     from tidewell.llm import toxicity
 
     docs = table(spark, sf_dir, "documents")
@@ -121,6 +126,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_quality")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts score as texts without words; repeated rows score alike; a null id is not held out; no documents, no rows."""
     from tidewell.llm import quality
 
     docs = table(spark, sf_dir, "documents")
@@ -143,6 +149,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 @query("op2_exact_top_k", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are null or hold what is no number take no part; ties go to the smaller id; no vectors, no rows."""
     from pyspark.sql import functions as F
 
     from tidewell.llm.topk import top_k
@@ -152,6 +159,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_fingerprints")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts count as empty; null ids come first in the order; repeated rows have one result each; no documents, no rows."""
     from tidewell.llm.fingerprint import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents"))
@@ -159,6 +167,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_html_extraction")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty pages give empty texts; a null url is a host of its own; repeated rows stay; no pages, no rows."""
     from tidewell.llm.htmltext import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
@@ -166,6 +175,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_chat_formatting")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are messages without text; messages without a conversation or turn stand alone; repeated rows stay; no messages, no rows."""
     from tidewell.llm.chat import reply_ordered
 
     return reply_ordered(table(spark, sf_dir, "conversations"))
@@ -205,6 +215,7 @@ FROM counts
 
 @query("op11_quality_rules", OP11_SQL.replace("{stop_words}", ", ".join(f"'{w}'" for w in STOP_WORDS)))
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and blank texts count 0 of everything and fail the base rules; null ids and repeated rows are rows of their own; no documents, no rows."""
     from tidewell.llm.rules import judged
 
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -232,6 +243,7 @@ FROM parts
 
 @query("op12_fill_in_middle", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are plain; repeated rows are cut alike, and so are texts of one length without an id; no documents, no rows."""
     from pyspark.sql import functions as F
 
     from tidewell.llm.infill import infilled, restored
@@ -251,6 +263,7 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op13_importance_resampling")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have no features and weigh 0; ties go to the smaller id, null ids first; repeated rows rank one after another; no documents, no rows."""
     from tidewell.llm.importance import resampled
 
     made = resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
