@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
 and returns the columns of ``documents``; the last returns packed pieces.
 Between stages the rows are written as Parquet into the shared folder and read
 again, so a lost executor never repeats an earlier stage.
+
+Null and empty texts are texts without words: the models' scores for such texts decide on them,
+they are near duplicates of nothing, a mix repeats them like others of their source, and
+packing makes them their end id alone.  Rows without an id, repeated rows and further columns
+pass like others; of near duplicates, rows alike in id and text included, one stays.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
