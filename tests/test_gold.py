@@ -75,6 +75,27 @@ def test_missing_uptime_falls_back_to_observed(spark):
     assert r.observed_duration_seconds == 4 and r.duration_seconds == 4 and not r.completed
 
 
+def test_percentiles_of_the_funnel_are_exact_over_many_durations(spark):
+    n = 60_000
+    seconds = F.when(F.col("id") % 11 > 0, F.pmod(F.xxhash64("id"), F.lit(2_000_000)))
+    d = spark.range(n).select(
+        (F.col("id") % 2).alias("game_id"), F.when(F.col("id") % 2 > 0, "r").alias("region"), seconds.alias("duration_seconds"), (F.col("id") % 3).alias("start_events"),
+        F.lit(1).alias("terminate_events"), F.when(F.col("id") % 5 > 0, 1 + F.col("id") % 4).cast("int").alias("peak_players"),
+    )
+    plain = d.collect()
+    got = {r.game_id: r for r in gold.matchmaking_funnel(d.unionByName(d.limit(1).withColumns({"game_id": F.lit(9).cast("long"), "duration_seconds": F.lit(None).cast("long"), "peak_players": F.lit(None).cast("int")}))).collect()}
+    assert set(got) == {0, 1, 9} and got[0].region is None
+    for game in (0, 1):
+        own = [r for r in plain if r.game_id == game]
+        held = sorted(r.duration_seconds for r in own if r.duration_seconds is not None)
+        peaks = [r.peak_players for r in own if r.peak_players is not None]
+        r = got[game]
+        assert (r.p50_duration_seconds, r.p95_duration_seconds) == (held[-(-len(held) // 2) - 1], held[-(-len(held) * 95 // 100) - 1])
+        assert (r.sessions_observed, r.sessions_terminated, r.sessions_started) == (n // 2, n // 2, sum(x.start_events > 0 for x in own))
+        assert r.avg_peak_players == sum(peaks) / len(peaks)
+    assert (got[9].sessions_observed, got[9].p50_duration_seconds, got[9].avg_peak_players) == (1, None, None)
+
+
 @pytest.mark.parametrize("window", ["1 minute", "5 minutes", "30 seconds"])
 def test_late_events_bring_back_exactly_their_windows(events, window, rows):
     first, late = events.where("pmod(hash(event_id), 7) <> 0"), events.where("pmod(hash(event_id), 7) = 0")

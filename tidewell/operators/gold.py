@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalars import count_of, seconds_between
+from tidewell.operators.ranking import running_total
 
 MINUTE = "1 minute"
 
@@ -73,16 +74,33 @@ def session_durations(events: DataFrame) -> DataFrame:
 
 
 def matchmaking_funnel(durations: DataFrame) -> DataFrame:
-    """Per game and region: observed, started and ended sessions, and how long they ran."""
-    rolled = durations.groupBy("game_id", "region").agg(
-        F.count(F.lit(1)).alias("sessions_observed"),
-        F.count_if(F.col("start_events") > 0).alias("sessions_started"),
-        F.count_if(F.col("terminate_events") > 0).alias("sessions_terminated"),
-        F.percentile_approx("duration_seconds", 0.5).alias("p50_duration_seconds"),
-        F.percentile_approx("duration_seconds", 0.95).alias("p95_duration_seconds"),
-        F.avg("peak_players").alias("avg_peak_players"),
+    """Per game and region: observed, started and ended sessions, and how long they ran.
+
+    Percentiles are exact: the least duration that so great a share of a group's do not exceed.
+    Equal durations are counted first and ranks are running sums, so a group of any size is
+    spread over tasks.  Without any duration they are null.
+    """
+    keys = ["game_id", "region"]
+    every = F.count(F.lit(1))
+    sums = {"sessions_observed": every, "sessions_started": F.count_if(F.col("start_events") > 0), "sessions_terminated": F.count_if(F.col("terminate_events") > 0),
+            "timed": F.count("duration_seconds"), "peaks_sum": F.sum("peak_players"), "peaks": F.count("peak_players")}
+    counted = durations.groupBy(*keys, "duration_seconds").agg(*[c.alias(n) for n, c in sums.items()])
+    placed = running_total(counted, keys, ["duration_seconds"], F.col("timed"), "upto")
+    totals = placed.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sums]).withColumnsRenamed({k: f"of_{k}" for k in keys})
+    places = placed.select(*keys, "duration_seconds", "upto")
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    reached = {p: F.min(F.when(F.col("upto") * 100 >= F.col("timed") * p, F.col("duration_seconds"))) for p in (50, 95)}
+    rolled = places.join(totals, same).groupBy(*keys).agg(
+        *[F.max(n).alias(n) for n in sums],
+        *[c.alias(f"p{p}_duration_seconds") for p, c in reached.items()],
     )
-    return rolled.withColumn("start_rate", F.round(F.col("sessions_started") / F.col("sessions_observed"), 4))
+    return rolled.select(
+        *keys, "sessions_observed", "sessions_started", "sessions_terminated", "p50_duration_seconds", "p95_duration_seconds",
+        (F.col("peaks_sum") / F.when(F.col("peaks") > 0, F.col("peaks"))).alias("avg_peak_players"),
+        F.round(F.col("sessions_started") / F.col("sessions_observed"), 4).alias("start_rate"),
+    )
 
 
 def stamped(df: DataFrame) -> DataFrame:
