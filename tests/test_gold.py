@@ -12,6 +12,7 @@ from tests.test_rules import bronze
 from tidewell.operators import gold, merge
 from tidewell.operators.envelope import parse
 from tidewell.operators.generate import event_lines
+from tidewell.plans.catalog import session_lengths
 
 
 @pytest.fixture(scope="module")
@@ -121,3 +122,9 @@ def test_merges(spark, rows):
     assert rows(merge.first_of_each(twice, ["k"], "v")) == [(2, "A"), (3, "A"), (None, "A")]
     assert merge.first_of_each(twice, ["k"]).count() == 3
     assert rows(merge.touching(target, source, ["k"])) == [(2, "b")]
+
+
+def test_session_lengths_of_the_pack_are_exact_over_many_durations(spark):
+    d = spark.range(41_000).select(F.lit("g").alias("game_id"), F.lit("r").alias("region"), (F.col("id") * 37).alias("duration_seconds"), F.lit(1).alias("start_events"), F.lit(0).alias("terminate_events"), F.lit(3).alias("peak_players"))
+    r = session_lengths(lambda name: gold.matchmaking_funnel(d)).first()
+    assert tuple(r) == ("g", "r", 41_000, 41_000, 1.0, 20_499 * 37, 38_949 * 37, 3.0)
