@@ -70,6 +70,31 @@ def test_every_quantile_is_within_the_rank_error(spark, events):
             assert below - 0.01 <= s <= upto + 0.01
 
 
+def test_exact_rows_merge_into_exact_days(spark, rows, events):
+    timed = events.where("event_time IS NOT NULL")
+    parts = partials.partial(events.where("id % 2 = 0"), exact=True).unionByName(partials.partial(events.where("id % 2 = 1"), exact=True))
+    hours = partials.combined(parts, window="1 hour")
+    same(spark, rows, partials.concurrency(hours, "1 day"), gold.concurrency(timed, "1 day", exact=True))
+    same(spark, rows, partials.lifecycle(hours, "1 day"), gold.lifecycle(timed, "1 day", exact=True))
+
+
+def test_sessions_of_all_time_are_counted_exactly(spark, rows, events):
+    whole = partials.total(partials.partial(events, "1 hour", exact=True), ("game_id",))
+    got = partials.with_sessions(whole, ("game_id",)).select("game_id", "distinct_sessions")
+    assert rows(got) == rows(events.where("event_time IS NOT NULL").groupBy("game_id").agg(F.count_distinct("session_code")))
+
+
+def test_counted_uptimes_give_exact_percentiles(spark, events):
+    values: dict = {}
+    for r in events.where("event_time IS NOT NULL AND uptime_seconds IS NOT NULL").select("region", "uptime_seconds").collect():
+        values.setdefault(r.region, []).append(r.uptime_seconds)
+    got = partials.uptime_percentiles(partials.counted_uptimes(events, "1 day", ("region",)), (50, 95), ("region",)).collect()
+    assert {r.region for r in got} == set(values)
+    for r in got:
+        held = sorted(values[r.region])
+        assert (r.uptimes, r.p50, r.p95) == (len(held), held[-(-len(held) // 2) - 1], held[-(-len(held) * 95 // 100) - 1])
+
+
 def test_few_values_are_exact(spark):
     rows = [("g", "r", f"S{k % 7}", k) for k in range(100)]
     frame = spark.createDataFrame(rows, "game_id string, region string, session_code string, uptime_seconds int").withColumns(

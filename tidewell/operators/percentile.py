@@ -13,15 +13,16 @@ from tidewell.operators.ranking import running_total
 RULES = {"nearest": "ceil(percent / 100.0D * n)", "rounded": "bround(percent / 100.0D * n + 0.5D, 0)"}
 
 
-def percentiles(df: DataFrame, value: str, percents: Sequence[int], rule: str = "nearest", by: Sequence[str] = ()) -> DataFrame:
+def percentiles(df: DataFrame, value: str, percents: Sequence[int], rule: str = "nearest", by: Sequence[str] = (), times: str | None = None) -> DataFrame:
     """``by``, ``percent, value``: the value at the rank that the rule gives, within 1 to the number of values.
 
     Values are counted first, so ties are one row each, and ranks are running sums of
     the counts.  Null values do not count; without values there are no rows.  Null keys are keys.
+    With ``times`` that column has how often each row's value counts, at least once.
     """
     own = [f"key_{i}" for i in range(len(by))]
-    values = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, own, strict=True)], F.col(value).alias("value")).where("value is not null")
-    counts = values.groupBy(*own, "value").agg(F.count(F.lit(1)).alias("times"))
+    values = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, own, strict=True)], F.col(value).alias("value"), (F.col(times) if times else F.lit(1)).cast("long").alias("each")).where("value is not null")
+    counts = values.groupBy(*own, "value").agg(F.sum("each").alias("times"))
     placed = running_total(counts, own, ["value"], F.col("times"), "upto")
     n = placed.groupBy(*own).agg(F.max("upto").alias("n"))
     wanted = n.select(*own, "n", F.explode(F.array(*map(F.lit, percents))).alias("percent"))
