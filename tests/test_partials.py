@@ -1,12 +1,13 @@
 """Partial rows: merging in any order, error bounds of sketches, replayed batches."""
 
 import math
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import gold, partials
-from tidewell.streaming import increments
+from tidewell.streaming import increments, silver, support
 
 COUNTS = [c for c in partials.SUMS if c != "player_slot_events"]
 
@@ -114,3 +115,36 @@ def test_a_batch_that_runs_twice_counts_once(spark, rows, events, tmp_path):
     whole = gold.lifecycle(events.where("event_time IS NOT NULL"), "1 day", exact=True)
     columns = ["window_start", "game_id", "region", *COUNTS]
     assert rows(increments.read(spark, path).select(columns)) == rows(whole.select(columns))
+
+
+def test_exact_batches_count_sessions_exactly_and_once(spark, rows, events, tmp_path):
+    path = str(tmp_path / "partials")
+    for number in (1, 0, 1):
+        increments.write_batch(events.where(F.col("id") % 2 == number), number, path, "1 day", exact=True)
+    same(spark, rows, partials.concurrency(increments.read(spark, path)), gold.concurrency(events.where("event_time IS NOT NULL"), "1 day", exact=True))
+
+
+def test_few_large_files_are_parsed_by_all_cores(spark):
+    few = spark.range(100).coalesce(1)
+    assert silver.spread(few).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in silver.spread(few).collect()) == list(range(100)) and silver.spread(few).columns == ["id"]
+    assert silver.spread(spark.range(0, 100, 1, 40)).rdd.getNumPartitions() == 40
+
+
+def test_a_long_batch_is_waited_for(monkeypatch):
+    class Slow:
+        isActive, stopped = True, False
+        asked = 0
+
+        @property
+        def recentProgress(self):
+            self.asked += 1
+            return [SimpleNamespace(batchId=0, numInputRows=1)] if self.asked > 5 else []
+
+        def stop(self):
+            self.stopped = True
+
+    clock = iter(range(0, 100_000, 100))
+    monkeypatch.setattr(support, "time", SimpleNamespace(time=lambda: next(clock), sleep=lambda s: None))
+    query = Slow()
+    assert support.run_batches(query, 1, timeout=None) == 1 and query.stopped

@@ -23,27 +23,27 @@ def folder(options: LakeOptions) -> str:
     return f"{options.base}/partials"
 
 
-def write_batch(events: DataFrame, number: int, path: str, window: str = MINUTE) -> None:
-    """Put a batch's partial rows into its folder, in place of what an earlier try left there."""
-    partial(events, window).write.mode("overwrite").parquet(f"{path}/batch={number}")
+def write_batch(events: DataFrame, number: int, path: str, window: str = MINUTE, exact: bool = False) -> None:
+    """Put a batch's partial rows into its folder, in place of what an earlier try left there; ``exact`` ones are per session."""
+    partial(events, window, exact=exact).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
 
-def start(spark: SparkSession, options: LakeOptions) -> StreamingQuery:
+def start(spark: SparkSession, options: LakeOptions, exact: bool = False) -> StreamingQuery:
     """Follow silver's newly accepted rows."""
     silver = ensure_tables(spark, options, SILVER)[SILVER]
 
     def write(batch: DataFrame, number: int) -> None:
-        write_batch(added_rows(batch, spark, silver.path), number, folder(options), options.window_text)
+        write_batch(added_rows(batch, spark, silver.path), number, folder(options), options.window_text, exact)
 
     stream = commits(silver, options.max_files)
     return configured(stream.writeStream.outputMode("append").foreachBatch(write), options, NAME).start()
 
 
-def run(spark: SparkSession, options: LakeOptions) -> None:
+def run(spark: SparkSession, options: LakeOptions, exact: bool = False) -> None:
     """Bring the partial rows up to silver."""
-    finish(start(spark, options), options)
+    finish(start(spark, options, exact), options)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All batches' partial rows, merged to one per window, game and region."""
+    """All batches' partial rows, merged to one per window, game and region, and session if they are exact."""
     return combined(spark.read.parquet(path))

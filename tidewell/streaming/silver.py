@@ -35,6 +35,15 @@ def rejected(prepared: DataFrame) -> DataFrame:
     return bad.withColumn("quarantined_at", F.current_timestamp()).withColumn("failure_count", F.size(quality.FAILURES))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores: bronze's few files are a task each, however long their texts take to parse."""
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= tasks:
+        return rows
+    name = next(n for n in (f"deal_{k}" for k in range(len(rows.columns) + 1)) if n not in rows.columns)
+    return rows.withColumn(name, F.monotonically_increasing_id()).repartition(tasks, name).drop(name)
+
+
 def write_batch(bronze_rows: DataFrame, silver: LakeTable, quarantine: LakeTable, txn: tuple[str, int], prune: bool = True) -> int:
     """Send one batch to both tables; returns how many events were new.
 
@@ -42,7 +51,7 @@ def write_batch(bronze_rows: DataFrame, silver: LakeTable, quarantine: LakeTable
     nothing; quarantine has no key and goes by the batch number.  An event's
     identity is its id within the batch's dates, or everywhere without ``prune``.
     """
-    prepared = prepare(bronze_rows).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = prepare(spread(bronze_rows)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         new = silver.insert_if_absent(accepted(prepared), ["event_id"], prune="event_date" if prune else None)
         bad = rejected(prepared)

@@ -34,9 +34,12 @@ def finish(query: StreamingQuery, options: LakeOptions) -> None:
     query.awaitTermination()
 
 
-def run_batches(query: StreamingQuery, batches: int, timeout: float = 120) -> int:
-    """Let a query commit so many batches with rows, then stop it; returns how many it had."""
-    end = time.time() + timeout
+def run_batches(query: StreamingQuery, batches: int, timeout: float | None = 120) -> int:
+    """Let a query commit so many batches with rows, then stop it; returns how many it had.
+
+    Without ``timeout`` batches of any length are waited for; one that is cut off is work lost.
+    """
+    end = time.time() + timeout if timeout else float("inf")
     done = 0
     while time.time() < end and query.isActive and done < batches:
         done = len({p.batchId for p in query.recentProgress if p.numInputRows})
