@@ -128,3 +128,22 @@ def test_driver_queries_match_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_session_lengths_of_the_pack_round_halves_up_as_their_sql_does(spark, tmp_path):
+    # 40 sessions with 87 players at their peaks, 2.175 on average; 43 of 4,000 started, 0.01075.
+    wanted = [(16 * j, "click", 3 if j < 7 else 2) for j in range(40)] + [(16 * j + 1, "view" if j < 43 else "click", 4) for j in range(4000)]
+    rows, n = [], 0
+    for user, kind, peak in wanted:
+        n += 1
+        while n % 6 != peak or not all(n % k for k in (103, 89, 83)):
+            n += 1
+        rows.append((n, user, kind))
+    events = duckdb.connect()
+    events.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR)")
+    events.execute("INSERT INTO events SELECT e, TIMESTAMP '2024-01-01' + to_seconds(e), u, t FROM (SELECT unnest(?) AS e, unnest(?) AS u, unnest(?) AS t)", list(map(list, zip(*rows))))
+    events.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    found = events.sql(driver.ORACLES["pack_q3"])
+    got = driver.QUERIES["pack_q3"](spark, str(tmp_path)).select(*found.columns).collect()
+    assert {(r.sessions_observed, r.avg_peak_players, r.start_rate) for r in got} == {(40, 2.18, 0.0), (4000, 4.0, 0.0108)}
+    assert sorted(map(tuple, got)) == sorted(map(tuple, found.fetchall()))

@@ -180,6 +180,12 @@ _SESSIONS = f"""sessions AS (
 
 # Rollups
 
+
+def _half_up(value: str, digits: int) -> str:
+    """SQL that rounds a number as Spark does, in decimals and halves up: DuckDB's own rounding of doubles makes 2.17 of 2.175 and 2.68 of 2.675."""
+    return f"CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)"
+
+
 _LIFE_SELECT = """SELECT date_trunc('minute', event_time) AS window_start, date_trunc('minute', event_time) + INTERVAL 1 MINUTE AS window_end, game_id, region,
   count(*) FILTER (event_type = 'SESSION_CREATED')::BIGINT AS sessions_created, count(*) FILTER (event_type = 'SESSION_STARTED')::BIGINT AS sessions_started,
   count(*) FILTER (event_type = 'SESSION_TERMINATED')::BIGINT AS sessions_terminated, count(*) FILTER (event_type = 'PLAYER_JOINED')::BIGINT AS player_joins,
@@ -195,7 +201,7 @@ _DUR_SELECT = """SELECT *, coalesce(reported_uptime_seconds, observed_duration_s
   count(*) FILTER (event_type = 'SESSION_STARTED')::BIGINT AS start_events, count(*) FILTER (event_type = 'SESSION_TERMINATED')::BIGINT AS terminate_events,
   list(uptime_seconds ORDER BY event_time DESC, event_id DESC)[1]::BIGINT AS reported_uptime_seconds
   FROM good GROUP BY session_code))"""
-_FUNNEL_SELECT = """SELECT *, round(sessions_started / sessions_observed, 4) AS start_rate FROM (
+_FUNNEL_SELECT = f"""SELECT *, {_half_up("sessions_started / sessions_observed", 4)} AS start_rate FROM (
   SELECT game_id, region, count(*) AS sessions_observed, count(*) FILTER (start_events > 0)::BIGINT AS sessions_started,
   count(*) FILTER (terminate_events > 0)::BIGINT AS sessions_terminated, quantile_disc(duration_seconds, 0.5) AS p50_duration_seconds,
   quantile_disc(duration_seconds, 0.95) AS p95_duration_seconds, avg(peak_players) AS avg_peak_players FROM durations GROUP BY game_id, region)"""
@@ -343,7 +349,7 @@ _PACK_SQL = (
 SELECT window_start, game_id, region, sessions_created, player_joins, distinct_sessions FROM placed WHERE place <= 10""",
     f"""{_PACK_GOOD}, load AS ({_CONC_SELECT}), placed AS (SELECT *, row_number() OVER (ORDER BY window_start DESC, region) AS place FROM load)
 SELECT window_start, region, active_sessions, peak_session_size, event_count FROM placed WHERE place <= 10""",
-    f"""{_PACK_GOOD}, durations AS ({_DUR_SELECT}), funnel AS ({_FUNNEL_SELECT}) SELECT * EXCLUDE (sessions_terminated) REPLACE (round(avg_peak_players, 2) AS avg_peak_players) FROM funnel""",
+    f"""{_PACK_GOOD}, durations AS ({_DUR_SELECT}), funnel AS ({_FUNNEL_SELECT}) SELECT * EXCLUDE (sessions_terminated) REPLACE ({_half_up("avg_peak_players", 2)} AS avg_peak_players) FROM funnel""",
     f"""{_PACK_GOOD}, durations AS ({_DUR_SELECT}), placed AS (SELECT *, row_number() OVER (ORDER BY duration_seconds DESC, session_code) AS place FROM durations)
 SELECT session_code, game_id, region, peak_players, capacity, duration_seconds, completed FROM placed WHERE place <= 10""",
     f"""{_PACK_GOOD}, durations AS ({_DUR_SELECT}), never AS (SELECT session_code FROM good GROUP BY 1 HAVING bool_and(event_type <> 'SESSION_STARTED'))
